@@ -52,9 +52,9 @@ def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
     total = need.agg(F.sum("words")).first()[0] or 0
     slots = -(-total // block)
     ends = need.withColumn("end", F.sum("words").over(Window.orderBy("k")) * 1.0 / F.lit(float(total or 1)))
-    bounds = F.broadcast(ends.agg(F.sort_array(F.collect_list(F.struct("end", "k"))).alias("b")))  # one row; an entry per source
+    bounds = ends.agg(F.sort_array(F.collect_list(F.struct("end", "k"))).alias("b"))  # one row; an entry per source
     point = F.pmod(F.pmod(F.col("id"), F.lit(MODULUS)) * F.lit(GOLDEN), F.lit(MODULUS)) / F.lit(float(MODULUS))
-    drawn = spark.range(slots).withColumn("x", point).crossJoin(bounds)
+    drawn = spark.range(slots).select("id", point.alias("x"), bounds.scalar().alias("b"))
     drawn = drawn.select(F.col("id").alias("slot"), F.expr("element_at(b, least(size(b), 1 + size(filter(b, e -> e.end <= x)))).k").alias("k"), F.floor(F.col("id") / RUN).alias("run"))
     counts = drawn.groupBy("k", "run").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
