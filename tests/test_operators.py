@@ -1,0 +1,185 @@
+"""Operators against their definitions on small inputs."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from heddle.functions import messages as M
+from heddle.functions import text as X
+from heddle.operators import dedup, geometric, kernel, lexical, sampling, selection
+from heddle.plans import pool
+from heddle.sources import adapters, extract
+
+
+def test_clean(spark):
+    df = spark.createDataFrame([("  a\r\nb\rc\x00ﬁ \t",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(X.clean(F.col("t"))).collect()] == ["a\nb\ncfi", "", ""]
+
+
+MESSAGES = [
+    ([], "empty_messages"),
+    ([("robot", "a")], "invalid_role"),
+    ([("user", None)], "content_not_string"),
+    ([("assistant", "a")], "first_non_system_not_user"),
+    ([("user", "a")], "last_role_not_assistant"),
+    ([("system", "s"), ("user", "a"), ("assistant", "b")], None),
+    ([("user", "a"), ("system", "s"), ("assistant", "b")], "system_not_at_prefix"),
+    ([("user", "a"), ("assistant", " ")], "empty_assistant"),
+    ([("user", "a"), ("assistant", "b"), ("assistant", "c")], "assistant_not_alternating"),
+    ([("user", "a"), ("user", "b"), ("assistant", "c")], "user_not_alternating"),
+    ([("user", "a"), ("tool", "t"), ("assistant", "c")], None),
+    ([("user", "a"), ("assistant", "b"), ("tool", "t"), ("assistant", "c")], None),
+    ([("user", ""), ("assistant", "b")], None),
+]
+
+
+def test_invalid_reason(spark):
+    df = spark.createDataFrame([(k, m) for k, (m, _) in enumerate(MESSAGES)], "k int, m array<struct<role:string,content:string>>")
+    got = [r[0] for r in df.orderBy("k").select(M.invalid_reason(F.col("m"))).collect()]
+    assert got == [r for _, r in MESSAGES]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(1, 3000), min_size=1, max_size=8), st.floats(0.3, 1))
+def test_quotas(counts, share):
+    target = max(int(sum(counts.values()) * share), sum(min(n, 5) for n in counts.values()))
+    q = sampling.source_quotas(counts, target, base=5)
+    assert sum(q.values()) == target and all(0 < q[s] <= counts[s] for s in q)
+
+
+def test_quota_errors():
+    with pytest.raises(ValueError):
+        sampling.source_quotas({"a": 1}, 2)
+    with pytest.raises(ValueError):
+        sampling.source_quotas({"a": 600, "b": 600}, 700)
+
+
+def test_groups():
+    groups = sampling.random_groups(100, 3, 10, 123)
+    assert groups[1] == random.Random(124).sample(range(100), 10)
+    flat = [x for g in sampling.random_groups(100, 3, 10, 123, disjoint=True) for x in g]
+    assert len(set(flat)) == 30
+    out = sampling.balanced_groups([0] * 50 + [1] * 50, 2, 11, 7)
+    assert all(len(set(g)) == 11 and sum(x < 50 for x in g) in (5, 6) for g in out)
+
+
+def sequential(order, links):
+    kept = set()
+    for x in order:
+        if not any((x, y) in links or (y, x) in links for y in kept):
+            kept.add(x)
+    return kept
+
+
+def test_keep_first(spark):
+    r = random.Random(4)
+    links = {(a, b) for a in range(40) for b in range(a + 1, 40) if r.random() < 0.08}
+    nodes = spark.createDataFrame([(k, k * 7 % 40) for k in range(40)], "k long, o long")
+    pairs = spark.createDataFrame([(a, b, 0.9) for a, b in links], "a long, b long, similarity double")
+    got = dedup.keep_first(nodes, pairs, "k", ["o"]).collect()
+    kept = {x.k for x in got if x.kept}
+    assert kept == sequential(sorted(range(40), key=lambda k: k * 7 % 40), links)
+    assert all(x.matched_id in kept for x in got if not x.kept)
+
+
+def test_near_duplicates_keep_the_verified(spark):
+    rows = [(1, 1, "abcdefghij"), (2, 0, "abcdefghiX"), (3, 0, "something else"), (4, 0, "something else"), (5, 0, "ab"), (6, 0, "cd"), (7, 0, None)]
+    got = {r.k: r for r in dedup.near(spark.createDataFrame(rows, "k long, p int, t string"), "k", "t", ["p"], 0.7).collect()}
+    assert not got[1].kept and got[1].matched_id == 2 and got[1].similarity == round(5 / 7, 6)
+    assert got[3].kept and got[4].matched_id == 3
+    assert [got[k].kept for k in (5, 6, 7)] == [True, False, False]  # texts below the window count as alike
+
+
+def test_permuted_hashes():
+    a, b = dedup.permutations(256, 42)
+    assert a[:3].tolist() == [2297359619001564596, 1396682528897996047, 1973689801170867272]
+    x = np.array([273373140, 4294967295, 0], np.uint64)
+    assert dedup._times(a[:, None], x[None]).tolist() == [[int(v) * int(w) % dedup.PRIME for w in x] for v in a]
+
+
+def test_kernel_goldens():
+    assert round(kernel.vendi_of([0, 0, 10, 10, 20, 20], lambda a, b: math.exp(-abs(a - b))), 4) == 2.9999
+    assert round(kernel.vendi(np.array([[1, 0.9, 0], [0.9, 1, 0], [0, 0, 1]])), 4) == 2.1573
+    p = np.array([0.5, 0.5])
+    assert kernel.mauve(p, p) == pytest.approx(1, abs=1e-3) and kernel.kl(p, np.array([1.0, 0])) == math.inf
+
+
+def test_vendi_dual(spark):
+    x = np.random.default_rng(0).normal(size=(30, 5))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    assert kernel.vendi_dual(df) == pytest.approx(kernel.vendi(u @ u.T))
+    assert geometric.logdet(df, ridge=0.1) == pytest.approx(np.linalg.slogdet(u @ u.T + 0.1 * np.eye(30))[1])
+    assert selection.k_center(df, 6) == selection.k_center_kernel(x, 6)
+
+
+def test_entropy_of_words(spark):
+    df = spark.createDataFrame([("Hello",), ("Hello World",), ("World Hi",)], "t string")
+    got = lexical.entropy(df, X.words(F.col("t")), 1).first()
+    assert got.entropy == pytest.approx(-(4 / 5 * math.log2(2 / 5) + 1 / 5 * math.log2(1 / 5))) and got.total == 5
+
+
+def test_expected_ttr(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a " * 40), (3, "")], "k int, t string")
+    got = {r.k: r.ttr for r in lexical.expected_ttr(df, X.words(F.col("t")), "k").collect()}
+    assert got[1] == 1 and got[2] == pytest.approx(1 / 30) and got[3] is None
+
+
+def test_selection_kernels():
+    x = np.eye(4)[[0, 0, 1, 2, 3]]
+    assert selection.facility_location(x, 4) == [0, 2, 3, 4]
+    assert selection.novelty(x, 2, np.ones(5))[1] in (2, 3, 4)
+    assert selection.expected_quality([0.0] * 6) == 3.5 and selection.expected_quality([None] * 6) == 3.0
+
+
+def test_message_tree(spark):
+    n = lambda i, p, role, rank, text, deleted=False: (i, p, "t", role, rank, text, deleted, True, "ready_for_export")
+    rows = [n("a", None, "prompter", None, "q"), n("b", "a", "assistant", 1, "worse"), n("c", "a", "assistant", 0, "better"), n("d", "c", "prompter", None, "more"), n("e", "d", "assistant", 0, "gone", True)]
+    df = spark.createDataFrame(rows, "message_id string, parent_id string, message_tree_id string, role string, rank int, text string, deleted boolean, review_result boolean, tree_state string")
+    got = adapters.best_paths(df).first()
+    assert [(m.role, m.content) for m in got.messages] == [("user", "q"), ("assistant", "better")]
+
+
+def test_adapters(spark):
+    turns = [("human", "a"), ("gpt", "b")]
+    df = spark.createDataFrame([(1, "s", turns), (2, "OASST-x", turns), (3, "", turns)], "id int, source string, messages array<struct<role:string,content:string>>")
+    got = [r.reason for r in adapters.chat_rows(df, "p").orderBy("sample_id").collect()]
+    assert sorted(map(str, got)) == ["None", "excluded_source", "missing_source"]
+    df = spark.createDataFrame([("a", None, "b"), ("", "", "b"), ("a", "x", "")], "instruction string, input string, output string")
+    assert [r.reason for r in adapters.instruction_rows(df, "p", "s").collect()] == [None, "empty_instruction", "empty_output"]
+
+
+def test_extract(spark):
+    df = spark.createDataFrame([(k, "x" * k) for k in range(10)], "k long, t string")
+    backward = lambda texts: [{"index": i, "n": float(len(t))} for i, t in reversed(list(enumerate(texts)))]
+    got = {r.k: r.n for r in extract.extract(df, "k", "t", lambda: backward, "n", "double", batch=3).collect()}
+    assert got == {k: float(k) for k in range(10)}
+    assert extract.mean_log_prob([None, -1.0, -3.0]) == -2.0
+    waits, calls = [], iter([OSError(), OSError(), 5])
+
+    def call():
+        x = next(calls)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert extract.retried(call, wait=waits.append) == 5 and waits == [1, 2]
+
+
+def test_pool(spark, tmp_path):
+    rows = [(f"s{k}", f"src{k % 2}", [("user", f"question number {k}"), ("assistant", f"a long answer {k * 7919}")], None) for k in range(12)] + [("bad", "src0", [("user", "x")], "last_role_not_assistant")]
+    df = spark.createDataFrame(rows, "sample_id string, source string, messages array<struct<role:string,content:string>>, reason string")
+    out = pool.build(df, None, 8, near=False)
+    assert out["pool"].count() == 8
+    path = f"file://{tmp_path}/pool"
+    manifest = pool.export(spark, out["pool"], path)
+    assert manifest["count"] == 8
+    docs = spark.read.json(f"{path}/docs")
+    assert {r.check: r.failures for r in pool.audit(out["pool"], docs, 8).collect()} == dict.fromkeys(["rows", "duplicate_ids", "invalid_messages", "misaligned", "places"], 0)
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        pool.export(spark, out["pool"], path)
