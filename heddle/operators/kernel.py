@@ -68,7 +68,8 @@ def mauve(p: np.ndarray, q: np.ndarray, points: int = 25, scale: float = 5.0) ->
     mixed = [x * p + (1 - x) * q for x in w]
     xs = np.exp(-scale * np.array([0, *(kl(q, r) for r in mixed), np.inf]))
     ys = np.exp(-scale * np.array([np.inf, *(kl(p, r) for r in mixed), 0]))
-    area = lambda a, b: float(np.trapezoid(b[o := np.argsort(a, kind="stable")], a[o]))
+    # of points with equal first coordinates the highest comes first, as the curve falls
+    area = lambda a, b: float(np.trapezoid(b[o := np.lexsort((-b, a))], a[o]))
     return 0.5 * (area(xs, ys) + area(ys, xs))
 
 

@@ -17,11 +17,11 @@ def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.filter("reason IS NULL").drop("reason"), records.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def build(records: DataFrame, dev: DataFrame | None, target: int, seed: int = 42, near: bool = True, threshold: float = 0.8, window: int = 5, priority: str | None = None) -> dict[str, DataFrame]:
+def build(records: DataFrame, dev: DataFrame | None, target: int, seed: int = 42, near: bool = True, threshold: float = 0.8, window: int = 5, priority: str | None = None, base: int = 500) -> dict[str, DataFrame]:
     """``pool`` (with candidate_index) and what each stage removed.
 
     ``records``: sample_id, source, messages, reason. ``dev``: a table with ``doc``, whose documents and first
-    prompts must not occur. ``priority`` is an SQL expression, lower first.
+    prompts must not occur. ``priority`` is an SQL expression, lower first; ``base`` is each source's base quota.
     """
     valid, invalid = split_valid(records)
     rows = tables.materialize(valid.withColumns({"doc": M.document(F.col("messages")), "prompt": M.first_user_prompt(F.col("messages")), "priority": F.expr(priority or "0")}))
@@ -41,7 +41,7 @@ def build(records: DataFrame, dev: DataFrame | None, target: int, seed: int = 42
         rows, removed["duplicates"] = dedup.exact(rows, "doc", order, "sample_id")
     rows = tables.materialize(rows)
     counts = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    quotas = sampling.source_quotas(counts, target)
+    quotas = sampling.source_quotas(counts, target, base)
     pool = sampling.quota_sample(rows, quotas, "sample_id", seed=seed)
     pool = sampling.placed(pool, ["source", "sample_id"], "candidate_index")
     return {"pool": tables.materialize(pool)} | removed
