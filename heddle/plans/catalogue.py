@@ -253,7 +253,7 @@ def minhash_keep_first(spark, d):
 @query()
 def source_quota(spark, d):
     counts = {r.source: r.n for r in source_counts(spark, d).collect()}
-    return spark.createDataFrame(sorted(sampling.source_quotas(counts, sum(counts.values()) // 2, base=10).items()), "source string, quota long")
+    return spark.createDataFrame(sorted(sampling.source_quotas(counts, sum(counts.values()) // 2, base=2).items()), "source string, quota long")
 
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) <= 10")
