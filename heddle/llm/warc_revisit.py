@@ -7,7 +7,9 @@ match is ``unchecked``. The resolved headers are the response's, with those a 30
 the revisit.
 
 The as-of join runs in two levels, over stretches of time and within one, so a URL with a third of all
-records is not one task. Null URLs or times, and revisits before any response, are ``unresolved``.
+records is not one task. Revisits then meet their response by its id and a share of their own id; a response
+is repeated only for the shares that ask for it, so neither a response that very many revisits confirm nor
+the many unresolved ones are one task. Null URLs or times, and revisits before any response, are ``unresolved``.
 Repeated rows are resolved alike.
 """
 
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 #: Headers that a 304 response may update (RFC 9110, 15.4.5, and 9111, 3.2): fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 STRETCHES = 256
+#: Shares into which the revisits of one response, and those of none, are dealt when they meet their response.
+SHARES = 256
 
 
 def canonical(url: Column) -> Column:
@@ -55,8 +59,11 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     base = records.withColumns({"curl": canonical(F.col("url")), "is_response": F.col("kind") == "response"})
     rows = latest_earlier(base.select("record_id", "curl", "ts", "is_response").filter("curl IS NOT NULL AND ts IS NOT NULL")).filter("NOT is_response").select("record_id", "response_id", "response_ts").distinct()
-    visits = base.filter(~F.col("is_response")).join(rows, "record_id", "left")
+    share = F.pmod(F.xxhash64("record_id"), F.lit(SHARES)).alias("_share")
+    visits = base.filter(~F.col("is_response")).join(rows, "record_id", "left").select("*", share)
+    asked = rows.filter("response_id IS NOT NULL").select("response_id", share).distinct()
     full = base.filter("is_response").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers"))
+    full = full.join(asked, "response_id")
     strong = lambda c: F.regexp_replace(c, r"^W/", "")
     same = F.coalesce(strong(F.col("etag")) == strong(F.col("r_etag")), F.col("last_modified") == F.col("r_modified"))
     status = F.when(F.col("response_id").isNull(), "unresolved").when(same.isNull(), "unchecked").when(same, "confirmed").otherwise("changed")
@@ -64,5 +71,5 @@ def resolve(records: DataFrame) -> DataFrame:
     own, theirs = F.coalesce("headers", none), F.coalesce("r_headers", none)
     update = F.map_filter(own, lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(theirs, lambda k, v: ~F.map_contains_key(update, k)), update)
-    out = visits.join(full, "response_id", "left").withColumn("status", status)
+    out = visits.join(full, ["response_id", "_share"], "left").withColumn("status", status)
     return out.select("record_id", F.col("curl").alias("canonical_url"), "ts", "response_id", "response_ts", "status", F.when(F.col("status").isin("confirmed", "unchecked"), merged).otherwise(own).alias("headers"))
