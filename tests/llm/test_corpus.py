@@ -354,3 +354,14 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns) and {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in one}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "secret_scans", "source_mix", "sentencepiece"]
+
+
+def test_revisits_of_one_response(spark):
+    """Very many revisits of one response, and many of none, all come back once."""
+    from heddle.llm import warc_revisit
+
+    kinds = "CASE WHEN id = 0 THEN 'response' ELSE 'revisit' END AS kind"
+    log = spark.range(1000).selectExpr("id AS record_id", "IF(id < 600, 'http://a.org/x', concat('http://b.org/', id)) AS url", "id AS ts", kinds, "'t' AS etag", "CAST(NULL AS string) AS last_modified", "map('date', CAST(id AS string)) AS headers")
+    rows = warc_revisit.resolve(log).select("record_id", "response_id", "status").collect()
+    want = {(k, 0 if k < 600 else None, "confirmed" if k < 600 else "unresolved") for k in range(1, 1000)}
+    assert len(rows) == 999 and {tuple(r) for r in rows} == want
