@@ -84,20 +84,54 @@ def band_table(df: DataFrame, key: str, text: str, window: int = 5, n: int = 256
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, band int, bucket long")
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, window: int = 5, **options) -> DataFrame:
-    """a < b and similarity of pairs that share a bucket and whose shingle sets are similar enough.
-
-    Equal texts are compared once: only one record of a text takes part, so groups of copies make no pairs.
-    Two empty sets count as similar 1.
+def deciding_pairs(df: DataFrame, key: str, text: str, order: list[str], threshold: float = 0.8, window: int = 5, first: int = 8, **options) -> DataFrame:
+    """a, b and similarity of the similar pairs that the keep-first rule needs, a before b in ``order``.
+
+    Members of a bucket are not all paired. In each round the first few undecided members of every bucket are
+    compared with all later members; what is similar to a kept record is then gone and compares with none after
+    it. A bucket of near copies costs a few comparisons a member; of a bucket whose members all stay, every pair
+    is compared, as the rule asks. The number of members taken doubles with each round. Large buckets are dealt
+    to many tasks by a share of the members' keys. Two empty sets count as similar 1.
     """
     bands = materialize(band_table(df, key, text, window, **options))
-    x, y = bands.alias("x"), bands.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    bucket = ["band", "bucket"]
+    sizes = bands.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").select(*bucket, F.ceil(F.col("n") / 4096).cast("int").alias("shares"))
+    rank = df.select(F.col(key).alias("key"), F.struct(*order, key).alias("o"))
+    members = materialize(bands.join(sizes, bucket).join(rank, "key").withColumn("taken", F.lit(False)))
+    state = materialize(members.select("key").distinct().withColumn("kept", F.lit(None).cast("boolean")))
     sets = df.select(F.col(key).alias("k"), char_ngrams(F.col(text), window).alias("s"))
     side = lambda n: sets.select(F.col("k").alias(n), F.col("s").alias(f"s{n}"))
     both, all_ = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold)
+    similarity = F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
+    links, take = None, first
+    while True:
+        place = F.row_number().over(Window.partitionBy(*bucket).orderBy("o"))
+        waiting = members.filter("NOT taken").join(state.filter("kept IS NULL").select("key"), "key", "left_semi")
+        now = materialize(waiting.withColumn("place", place).filter(F.col("place") <= take).select("key", "o", "shares", *bucket))
+        if now.isEmpty():
+            break
+        x = now.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(*bucket, "share", F.col("key").alias("a"), F.col("o").alias("oa"))
+        y = members.select(*bucket, F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), F.col("key").alias("b"), F.col("o").alias("ob"))
+        pairs = x.join(y, [*bucket, "share"]).filter("oa < ob").select("a", "b").distinct()
+        found = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold))
+        links = found if links is None else links.unionByName(found)
+        members = materialize(members.join(now.select("key", *bucket, F.lit(True).alias("now")), ["key", *bucket], "left").select("key", *bucket, "shares", "o", (F.col("taken") | F.coalesce("now", F.lit(False))).alias("taken")))
+        state = _decided(members, state, links)
+        take = min(2 * take, 512)  # Spark cuts a window's input before the shuffle up to 1,000 places
+    return links if links is not None else _no_pairs(df, key)
+
+
+def _decided(members: DataFrame, state: DataFrame, links: DataFrame) -> DataFrame:
+    """Removed: similar to a kept record. Kept: compared in all its buckets, and no undecided earlier record is similar."""
+    seen = links.join(state.select(F.col("key").alias("a"), "kept"), "a").groupBy(F.col("b").alias("key")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))
+    ready = members.groupBy("key").agg(F.min("taken").alias("ready"))
+    new = F.when(F.coalesce("hit", F.lit(False)), False).when(F.col("ready") & ~F.coalesce("open", F.lit(False)), True)
+    return materialize(state.join(ready, "key").join(seen, "key", "left").select("key", F.coalesce("kept", new).alias("kept")))
+
+
+def _no_pairs(df: DataFrame, key: str) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+    return df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
 
 
 def keep_first(nodes: DataFrame, pairs: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -128,7 +162,7 @@ def near(df: DataFrame, key: str, text: str, order: list[str], threshold: float
     """Exact duplicates first, then the keep-first rule over similar pairs of what is left."""
     first, copies = exact(df, text, order, key)
     first = materialize(first)
-    found = keep_first(first, similar_pairs(first, key, text, threshold, **options), key, order)
+    found = keep_first(first, deciding_pairs(first, key, text, order, threshold, **options), key, order)
     more = copies.select(key, F.lit(False).alias("kept"), F.col("matched_id"), F.lit(1.0).alias("similarity"))
     return found.unionByName(more)
 

@@ -183,3 +183,40 @@ def test_pool(spark, tmp_path):
     assert {r.check: r.failures for r in pool.audit(out["pool"], docs, 8).collect()} == dict.fromkeys(["rows", "duplicate_ids", "invalid_messages", "misaligned", "places"], 0)
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         pool.export(spark, out["pool"], path)
+
+
+def test_near_duplicates_by_rounds(spark):
+    """The sequential rule: a record goes if it shares a bucket with, and is similar to, an earlier kept one."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join("abcdefghij"[c] * 2 for c in rng.integers(0, 10, n))
+    rows = []
+    for family in range(3):
+        base = word(60)
+        for k in range(40):  # near copies of one text, some farther from it than others
+            cut = rng.integers(0, len(base) - 40)
+            rows.append(base[:cut] + word(int(rng.integers(1, 9))) + base[cut + 12 :])
+    rows += ["", "abc", None, rows[0], word(30)]
+    texts = [(k, int(rng.integers(0, 4)), t) for k, t in enumerate(rows)]
+    a, b = dedup.permutations(256, 42)
+    kept, want = [], {}
+    first = {}
+    for k, p, t in sorted(texts, key=lambda r: (r[1], r[0])):
+        t = t or ""
+        if t in first:
+            want[k] = (False, first[t], 1.0)
+            continue
+        first[t] = k
+        s = {t[i : i + 5] for i in range(len(t) - 4)}
+        sig = dedup.signature(sorted(s), a, b).reshape(32, 8)
+        alike = [(-(len(s & s2) / len(s | s2) if s | s2 else 1.0), n, k2) for n, (k2, s2, sig2) in enumerate(kept) if (sig == sig2).all(axis=1).any()]
+        best = min([x for x in alike if -x[0] >= 0.8], default=None)
+        if best is None:
+            kept.append((k, s, sig))
+            want[k] = (True, None, None)
+        else:
+            want[k] = (False, best[2], round(-best[0], 6))
+    df = spark.createDataFrame(texts, "k long, p int, t string")
+    for size in (2, 8):
+        got = {r.k: (r.kept, r.matched_id, r.similarity) for r in dedup.near(df, "k", "t", ["p"], 0.8, first=size).collect()}
+        assert got == want
+    assert dedup.near(df.limit(0), "k", "t", ["p"], 0.8).count() == 0
