@@ -129,3 +129,58 @@ def rendered(messages: Column, template: str = "chatml") -> Column:
         return out
 
     return F.array_join(F.transform(messages, turn), form["sep"])
+
+
+def appended(messages: Column, role_: str, content: Column) -> Column:
+    """One more turn at the end."""
+    turn = F.struct(F.lit(role_).alias("role"), content.cast("string").alias("content"))
+    return F.concat(F.coalesce(messages, F.array().cast("array<struct<role:string,content:string>>")), F.array(turn))
+
+
+def with_last(messages: Column, content: Column) -> Column:
+    """The content of the last turn replaced; no turns stay none."""
+    n = F.size(messages)
+    return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == n - 1, content).otherwise(m["content"]).alias("content")))
+
+
+def length_by_parity(messages: Column, part: str = "all") -> Column:
+    """Characters of even turns (instruction), odd turns (response) or all turns."""
+    rest = {"instruction": 0, "response": 1}.get(part)
+    if rest is None and part != "all":
+        raise ValueError(part)
+    kept = messages if rest is None else F.filter(messages, lambda m, i: i % 2 == rest)
+    return F.aggregate(kept, F.lit(0), lambda a, m: a + F.length(F.coalesce(m["content"], F.lit(""))))
+
+
+def answers(messages: Column, by: str = "\n") -> Column:
+    """The second, fourth … turns in one text, as input of an embedder."""
+    return F.array_join(F.transform(F.filter(messages, lambda m, i: i % 2 == 1), lambda m: F.coalesce(m["content"], F.lit(""))), by)
+
+
+def preference(prompt: Column, chosen: Column, rejected: Column, template: str = "claude") -> Column:
+    """prompt, chosen and rejected as texts: the prompt rendered with its answer open, each answer as its last turn.
+
+    ``chosen`` and ``rejected`` are conversations whose last turn is the answer.
+    """
+    from . import templates
+
+    opened = appended(F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))), "assistant", F.lit(None))
+    last = lambda c: F.coalesce(F.try_element_at(c, F.lit(-1))["content"], F.lit(""))
+    return F.struct(templates.render(opened, template).alias("prompt"), last(chosen).alias("chosen"), last(rejected).alias("rejected"))
+
+
+def last_tokens(tokens: Column, n: int) -> Column:
+    """Left truncation: the last n."""
+    return F.when(F.size(tokens) > n, F.slice(tokens, -n, n)).otherwise(tokens)
+
+
+def first_tokens(tokens: Column, n: int) -> Column:
+    return F.slice(tokens, 1, n)
+
+
+def scored(data: DataFrame, scores: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Scores per turn (key, turn, one column per name) as arrays by turn on each conversation; none gives empty ones."""
+    row = F.sort_array(F.collect_list(F.struct("turn", *names)))
+    per = scores.groupBy(key).agg(row.alias("_s")).select(key, *[F.col(f"_s.{n}").cast("array<double>").alias(n) for n in names])
+    out = data.join(per, key, "left")
+    return out.withColumns({n: F.coalesce(n, F.array().cast("array<double>")) for n in names})

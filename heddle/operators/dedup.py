@@ -38,6 +38,32 @@ def without_contamination(df: DataFrame, text: str, other: DataFrame, other_text
     return df.withColumn("_h", h(text)).join(other.select(h(other_text)).distinct(), "_h", "left_anti").drop("_h")
 
 
+def contamination(df: DataFrame, dev: DataFrame, key: str, doc: str, prompt: str, dev_key: str, threshold: float = 0.8, window: int = 5, **options) -> DataFrame:
+    """key, matched_id, match_type and similarity of the rows that occur in ``dev`` (dev_key and the same two columns).
+
+    An equal document comes before an equal prompt, that before a similar prompt (similarity given, to 6 places).
+    Of several the least dev_key counts, of similar ones the most similar. Prompts shorter than the window
+    have no shingles and are never similar. Each different prompt is compared once, however often it occurs.
+    """
+    h = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
+    rows = materialize(df.select(F.col(key), h(doc).alias("_d"), h(prompt).alias("_p")))
+    by = lambda c, name: dev.groupBy(h(c).alias(name)).agg(F.min(dev_key).alias(f"m{name}"))
+    exact_ = rows.join(by(doc, "_d"), "_d", "left").join(by(prompt, "_p"), "_p", "left")
+    text = lambda d: d.select(h(prompt).alias("k"), F.coalesce(F.col(prompt), F.lit("")).alias("t")).filter(F.length("t") >= window).dropDuplicates(["k"])
+    dev_text = materialize(text(dev))
+    here = materialize(text(df).join(dev_text.select("k"), "k", "left_anti"))
+    a, b = (materialize(band_table(d, "k", "t", window, **options)) for d in (here, dev_text))
+    pairs = a.select("band", "bucket", F.col("key").alias("a")).join(b.select("band", "bucket", F.col("key").alias("b")), ["band", "bucket"]).select("a", "b").distinct()
+    side = lambda d, n: d.select(F.col("k").alias(n), char_ngrams(F.col("t"), window).alias(f"s{n}"))
+    similarity = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
+    alike = pairs.join(side(here, "a"), "a").join(side(dev_text, "b"), "b").select("a", "b", similarity.alias("s")).filter(F.col("s") >= threshold)
+    named = alike.join(by(prompt, "b"), "b").groupBy(F.col("a").alias("_p")).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("mb").alias("m"))).alias("_n"))
+    kind = F.when(F.col("m_d").isNotNull(), "exact_doc").when(F.col("m_p").isNotNull(), "exact_prompt").when(F.col("_n").isNotNull(), "prompt_minhash")
+    near_only = F.col("m_d").isNull() & F.col("m_p").isNull()
+    out = exact_.join(named, "_p", "left").select(key, F.coalesce("m_d", "m_p", "_n.m").alias("matched_id"), kind.alias("match_type"), F.when(near_only, F.round(-F.col("_n.s"), 6)).alias("similarity"))
+    return out.filter("match_type IS NOT NULL")
+
+
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The multipliers and the offsets of n hash functions; all multipliers are drawn first."""
     r = np.random.RandomState(seed)

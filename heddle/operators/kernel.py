@@ -82,3 +82,18 @@ def tanimoto(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two bit sets as arrays of unsigned integers."""
     both, any_ = (int(np.bitwise_count(x).sum()) for x in (a & b, a | b))
     return both / any_ if any_ else 1.0
+
+
+def ngram_vendi(sentences: list[list[str]], orders: tuple[int, ...] = (1, 2), q: float = 1.0) -> float:
+    """The mean over n-gram orders of the Vendi score of cosines of n-gram counts; for stated, small sets of sentences."""
+    scores = []
+    for n in orders:
+        grams = [[" ".join(s[i : i + n]) for i in range(len(s) - n + 1)] for s in sentences]
+        names = {g: i for i, g in enumerate(sorted({g for s in grams for g in s}))}
+        x = np.zeros((len(sentences), max(1, len(names))))
+        for r, s in enumerate(grams):
+            for g in s:
+                x[r, names[g]] += 1
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        scores.append(vendi(u @ u.T, q))
+    return float(np.mean(scores))

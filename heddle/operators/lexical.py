@@ -122,3 +122,18 @@ def sentence_bleu(references: list[list[str]], hypothesis: list[str], most: int
 def self_bleu(sentences: list[list[str]]) -> float:
     """The mean BLEU of each sentence against all others; for stated, small sets."""
     return float(np.mean([sentence_bleu(sentences[:i] + sentences[i + 1 :], s) for i, s in enumerate(sentences)]))
+
+
+def pairwise_bleu(sentences: list[list[str]]) -> float:
+    """The mean BLEU of each sentence against each other one alone; for stated, small sets."""
+    return float(np.mean([sentence_bleu([r], s) for i, s in enumerate(sentences) for j, r in enumerate(sentences) if i != j]))
+
+
+def report(df: DataFrame, tokens: Column, group: str, most: int = 3, threshold: int = 100) -> DataFrame:
+    """Per group and n: distinct_n, entropy in bits, total, and for n = 1 the share of rare tokens. One pass over the grams."""
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(tokens, n).alias("g")) for n in range(1, most + 1)])
+    grams = df.select(group, F.inline(rows)).select(group, "n", F.explode("g").alias("gram"))
+    c = grams.groupBy(group, "n", "gram").agg(F.count("*").alias("c"))
+    rare = F.sum(F.when(F.col("c") <= threshold, F.col("c")).otherwise(0))
+    s = c.groupBy(group, "n").agg(F.count("*").alias("d"), F.sum("c").alias("total"), F.sum(F.col("c") * F.log2("c")).alias("s"), rare.alias("r"))
+    return s.select(group, "n", (F.col("d") / F.col("total")).alias("distinct_n"), (F.log2("total") - F.col("s") / F.col("total")).alias("entropy"), "total", F.when(F.col("n") == 1, F.col("r") / F.col("total")).alias("low_frequency"))

@@ -17,19 +17,21 @@ def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.filter("reason IS NULL").drop("reason"), records.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def build(records: DataFrame, dev: DataFrame | None, target: int, seed: int = 42, near: bool = True, threshold: float = 0.8, window: int = 5, priority: str | None = None, base: int = 500) -> dict[str, DataFrame]:
+def build(records: DataFrame, dev: DataFrame | None, target: int, seed: int = 42, near: bool = True, threshold: float = 0.8, window: int = 5, priority: str | None = None, base: int = 500, dev_id: str = "sample_id") -> dict[str, DataFrame]:
     """``pool`` (with candidate_index) and what each stage removed.
 
-    ``records``: sample_id, source, messages, reason. ``dev``: a table with ``doc``, whose documents and first
-    prompts must not occur. ``priority`` is an SQL expression, lower first; ``base`` is each source's base quota.
+    ``records``: sample_id, source, messages, reason. ``dev``: a table with ``doc``, which must not occur; with ``prompt``
+    and ``dev_id`` too, equal and similar first prompts go as well. ``priority`` is an SQL expression, lower first; ``base`` is each source's base quota.
     """
     valid, invalid = split_valid(records)
     rows = tables.materialize(valid.withColumns({"doc": M.document(F.col("messages")), "prompt": M.first_user_prompt(F.col("messages")), "priority": F.expr(priority or "0")}))
     removed = {"invalid": invalid}
-    if dev is not None:
+    if dev is not None and "prompt" in dev.columns:
+        found = tables.materialize(dedup.contamination(rows, dev, "sample_id", "doc", "prompt", dev_id, threshold, window))
+        removed["contaminated"] = found
+        rows = rows.join(found.select("sample_id"), "sample_id", "left_anti")
+    elif dev is not None:
         clean = dedup.without_contamination(rows, "doc", dev, "doc")
-        if "prompt" in dev.columns:
-            clean = dedup.without_contamination(clean, "prompt", dev, "prompt")
         removed["contaminated"] = rows.join(clean.select("sample_id"), "sample_id", "left_anti").select("sample_id")
         rows = clean
     order = ["priority", "source"]

@@ -17,15 +17,15 @@ def chat_rows(df: DataFrame, prefix: str, excluded: str = "oasst|openassistant")
     return rows.select(F.concat_ws("::", F.lit(prefix), "source", F.col("id").cast("string")).alias("sample_id"), "source", F.col("turns").alias("messages"), F.coalesce("reason", M.invalid_reason(F.col("turns"))).alias("reason"))
 
 
-def instruction_rows(df: DataFrame, prefix: str, source: str) -> DataFrame:
-    """Rows with instruction, input and output: instruction and input make the user turn; empty ones get a reason."""
+def instruction_rows(df: DataFrame, prefix: str, source: str, keep: list[str] | None = None) -> DataFrame:
+    """Rows with instruction, input and output: instruction and input make the user turn; empty ones get a reason. Columns named in ``keep`` stay."""
     parts = {c: clean(F.col(c)) for c in ("instruction", "input", "output")}
     rows = df.withColumns({f"_{c}": x for c, x in parts.items()})
     user = F.when(F.col("_input") == "", F.col("_instruction")).otherwise(F.concat_ws("\n\n", "_instruction", "_input"))
     key = F.substring(F.sha2(F.to_json(F.struct(F.col("_input").alias("input"), F.col("_instruction").alias("instruction"), F.col("_output").alias("output"))), 256), 1, 16)
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     reason = F.when(F.col("_instruction") == "", "empty_instruction").when(F.col("_output") == "", "empty_output")
-    return rows.select(F.concat_ws("::", F.lit(prefix), key).alias("sample_id"), F.lit(source).alias("source"), F.array(turn("user", user), turn("assistant", F.col("_output"))).alias("messages"), reason.alias("reason"))
+    return rows.select(F.concat_ws("::", F.lit(prefix), key).alias("sample_id"), F.lit(source).alias("source"), F.array(turn("user", user), turn("assistant", F.col("_output"))).alias("messages"), reason.alias("reason"), *(keep or []))
 
 
 def best_paths(nodes: DataFrame) -> DataFrame:

@@ -73,3 +73,36 @@ def exported(spark: SparkSession, path: str) -> bool:
     """Whether a finished table stands at ``path``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).option("header", True).csv(path)
+
+
+def write_removals(removed: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """One folder of JSON lines per stage."""
+    for stage, df in removed.items():
+        write_jsonl(df, f"{path}/{stage}", mode=mode)
+
+
+def read_files(spark: SparkSession, paths: list[str], kind: str = "parquet") -> DataFrame:
+    """A fixed list of files; all that are missing are named in one error."""
+    conf = spark._jsc.hadoopConfiguration()
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    missing = [p for p in paths if not place(p).getFileSystem(conf).exists(place(p))]
+    if missing:
+        raise FileNotFoundError(", ".join(missing))
+    return spark.read.format(kind).load(paths)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON files named 0.json, 1.json … with ``_shard``, their number, for an explicit order."""
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json", 1).cast("int")
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_shard", number)
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """column, n, nulls, least and greatest of every column that can be ordered, in one pass."""
+    stats = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest"))
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType)]
+    return df.agg(F.array(*[stats(c) for c in plain]).alias("s")).select(F.inline("s"))

@@ -220,3 +220,59 @@ def test_near_duplicates_by_rounds(spark):
         got = {r.k: (r.kept, r.matched_id, r.similarity) for r in dedup.near(df, "k", "t", ["p"], 0.8, first=size).collect()}
         assert got == want
     assert dedup.near(df.limit(0), "k", "t", ["p"], 0.8).count() == 0
+
+
+def test_contamination(spark):
+    """Against a loop over all records and all dev records that share a bucket."""
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join("uvwxyz"[c] * 3 for c in rng.integers(0, 6, n))
+    dev = [(f"d{k}", say(20), say(15)) for k in range(12)]
+    dev += [("d0b", dev[0][1], dev[1][2]), ("a9", say(3), dev[2][2]), ("e", "", "ab")]
+    rows = [(f"r{k}", say(20), say(15)) for k in range(10)]
+    rows += [(f"x{k}", dev[k][1] if k % 3 == 0 else say(9), dev[k][2] if k % 3 == 1 else dev[k][2][:-2] + "qq") for k in range(12)]
+    rows += [("s", say(4), "abc"), ("t", "", None), ("u", None, say(5)), ("v", say(5), rows[-1][2])]
+    a, b = dedup.permutations(256, 42)
+
+    def sketch(t):
+        s = {t[i : i + 5] for i in range(len(t) - 4)}
+        return s, dedup.signature(sorted(s), a, b).reshape(32, 8)
+
+    want = {}
+    for key, doc, prompt in rows:
+        doc, prompt = doc or "", prompt or ""
+        docs, prompts = [d[0] for d in dev if d[1] == doc], [d[0] for d in dev if d[2] == prompt]
+        if docs:
+            want[key] = (min(docs), "exact_doc", None)
+        elif prompts:
+            want[key] = (min(prompts), "exact_prompt", None)
+        elif len(prompt) >= 5:
+            s, sig = sketch(prompt)
+            near = [(-len(s & o) / len(s | o), d[0]) for d in dev for o, so in [sketch(d[2])] if len(d[2]) >= 5 and (sig == so).all(axis=1).any()]
+            best = min((x for x in near if -x[0] >= 0.8), default=None)
+            if best:
+                want[key] = (best[1], "prompt_minhash", round(-best[0], 6))
+    frame = lambda r: spark.createDataFrame(r, "id string, doc string, prompt string")
+    found = dedup.contamination(frame(rows), frame(dev).withColumnRenamed("id", "dev_id"), "id", "doc", "prompt", "dev_id")
+    assert {r.id: (r.matched_id, r.match_type, r.similarity) for r in found.collect()} == want
+    assert {m[1] for m in want.values()} == {"exact_doc", "exact_prompt", "prompt_minhash"}
+
+
+def test_templates(spark, tmp_path):
+    from heddle.functions import templates
+
+    turns = [("user", "one\n\ntwo"), ("assistant", "three"), ("user", ""), ("assistant", None)]
+    df = spark.createDataFrame([(turns,), ([],), (None,)], "m array<struct<role:string,content:string>>")
+    got = {n: [r[0] for r in df.select(templates.render(F.col("m"), n)).collect()] for n in templates.names()}
+    assert all(g[2] is None for g in got.values())
+    assert got["claude"][:2] == ["\n\nHuman: one\n\ntwo\n\nAssistant: three\n\nHuman:Assistant:", "\n\n"]
+    assert got["billa"][0] == "\nHuman: one\n\ntwo\nAssistant: three\nHuman: Assistant: "
+    assert got["chatglm"][0] == "[Round 0]\n问：one\n\ntwo\n答：three\n[Round 1]\n问：答："
+    assert got["falcon"][0] == "User: one\ntwo\n\nAssistant: three\n\nUser:Assistant:"
+    assert got["llama-2"][0] == "one\n\ntwo[/INST] three </s><s>[INST][/INST]"
+    assert got["scorer"][0] == "one\n\ntwothree"
+    path = tmp_path / "t.json"
+    path.write_text('[{"name": "mine", "style": "internlm", "roles": ["U", "B"], "sep": "<e>", "sep2": "<f>", "system": "S"}]')
+    assert templates.load(str(path)) == ["mine"]
+    assert df.select(templates.render(F.col("m"), "mine")).first()[0] == "S<s>U:one\n\ntwo<e>\nB:three<f>\n<s>U:B:"
+    with pytest.raises(ValueError):
+        templates.register(templates.get("mine"))
