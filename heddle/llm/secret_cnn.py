@@ -227,21 +227,32 @@ def standard_network(recall: float = 0.97) -> Network:
 # ---- texts
 
 
+def clear(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Candidates that overlap no base finding; both come in order, so one walk over both is enough."""
+    out, k, reach = [], 0, 0
+    for a, b in spans:
+        while k < len(base) and base[k][0] < b:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= a:
+            out.append((a, b))
+    return out
+
+
 def find(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of all findings of each text, base ones and those the network adds."""
     found = [base_spans(t or "") for t in texts]
     which, spans, seen = [], [], []
     for k, t in enumerate(texts):
         base = found[k]
-        for a, b in candidates(t) if t else ():
-            if not any(s < b and a < e for s, _, e in base):
-                which.append(k)
-                spans.append((a, b))
-                seen.append(window(t, a, b))
+        for a, b in clear(candidates(t), base) if t else ():
+            which.append(k)
+            spans.append((a, b))
+            seen.append(window(t, a, b))
     if seen:
         for k, (a, b), p in zip(which, spans, net.score(np.array(seen)), strict=True):
             if p >= net.threshold:
-                found[k] = [*found[k], (a, 3, b)]
+                found[k].append((a, 3, b))
     return [sorted(f) for f in found]
 
 

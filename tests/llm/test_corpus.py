@@ -365,3 +365,13 @@ def test_revisits_of_one_response(spark):
     rows = warc_revisit.resolve(log).select("record_id", "response_id", "status").collect()
     want = {(k, 0 if k < 600 else None, "confirmed" if k < 600 else "unresolved") for k in range(1, 1000)}
     assert len(rows) == 999 and {tuple(r) for r in rows} == want
+
+
+def test_candidates_beside_base_findings():
+    rng = random.Random(8)
+    for _ in range(300):
+        base = sorted((a, rng.randrange(3), a + rng.randint(1, 9)) for a in (rng.randrange(80) for _ in range(rng.randrange(8))))
+        ends = sorted(rng.sample(range(90), 10))
+        spans = list(zip(ends[::2], ends[1::2], strict=True))
+        want = [(a, b) for a, b in spans if not any(s < b and a < e for s, _, e in base)]
+        assert secret_cnn.clear(spans, base) == want
