@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..sources.tables import materialize
-from . import dedup
+from ..sources.tables import materialize, shared_dir
 
 
 def k_center(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", space: str = "embedding", every: int = 8) -> list[int]:
@@ -65,27 +65,52 @@ def novelty(x: np.ndarray, k: int, rho: np.ndarray, power: float = 1.0, first: i
     return picked
 
 
-def redundancy_filter(df: DataFrame, pairs: DataFrame, key: str, order: list[str], size: int | None = None) -> DataFrame:
-    """Rows in score order without those too similar to an earlier kept row; the first ``size`` of them.
+def redundancy_filter(df: DataFrame, key: str, vector: str, order: list[str], threshold: float = 0.92, size: int | None = None, block: int = 2048) -> DataFrame:
+    """rank and key of the rows, in order, whose cosine with every earlier kept row is at most ``threshold``; the first ``size`` of them.
 
-    ``pairs`` holds similar pairs (a, b, similarity); the rule is that of near duplicates.
+    The next ``block`` rows in order are settled among themselves (the only rows that come to the driver); then one
+    pass without a shuffle drops all rows too similar to what was kept of them. No pairs are written, so groups of
+    copies cost no more than other rows, and the work ends as soon as ``size`` rows are found. A row of zeros is
+    similar to none; rows without a vector are left out. Ties in the order go by key.
     """
-    kept = dedup.keep_first(df, pairs, key, order).filter("kept").select(key)
-    out = df.join(kept, key).orderBy(*order, key)
-    return out.limit(size) if size else out
+    spark = df.sparkSession
+    rest = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.struct(*order, key).alias("o"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    rest, path, kept = materialize(rest), shared_dir(spark), 0
+    kind = f"rank long, {key} {df.schema[key].dataType.simpleString()}"
+    spark.createDataFrame([], kind).write.parquet(path)
+    while True:
+        top = rest.orderBy("o").limit(block).collect()  # at most ``block`` rows
+        if not top:
+            break
+        x = _unit(np.array([r.x for r in top], float))
+        close, alive = x @ x.T > threshold, np.ones(len(top), bool)
+        for i in range(len(top)):
+            if alive[i]:
+                alive[i + 1 :] &= ~close[i, i + 1 :]
+        picked = np.flatnonzero(alive)[: None if size is None else size - kept]
+        spark.createDataFrame([(kept + n, top[i].k) for n, i in enumerate(picked)], kind).coalesce(1).write.mode("append").parquet(path)
+        kept += len(picked)
+        if len(top) < block or kept == size:
+            break
+        seen = spark.createDataFrame([(r.k,) for r in top], f"k {df.schema[key].dataType.simpleString()}")
+        rest = materialize(_apart(rest.join(F.broadcast(seen), "k", "left_anti"), x[alive], threshold))
+    return spark.read.schema(kind).parquet(path)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """a < b and similarity of all pairs with cosine above the threshold, block by block."""
-    import pyarrow as pa
+def _apart(rows: DataFrame, kept: np.ndarray, threshold: float) -> DataFrame:
+    """Rows (with a column x) whose cosine with none of the unit vectors ``kept`` is above the threshold."""
 
-    def kernel(ka, x, kb, y):
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        s = unit(x) @ unit(y).T
-        i, j = np.nonzero((s > threshold) & (ka[:, None] < kb[None, :]))
-        return pa.table({"a": ka[i], "b": kb[j], "similarity": s[i, j]})
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                far = (_unit(vectors.matrix(b.column(b.schema.get_field_index("x")))) @ kept.T).max(axis=1) <= threshold
+                yield b.filter(pa.array(far))
 
-    return vectors.compared(df, key, vector, kernel, "a long, b long, similarity double")
+    return rows.mapInArrow(run, rows.schema)
 
 
 def facility_location(x: np.ndarray, k: int) -> list[int]:

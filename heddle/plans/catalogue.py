@@ -447,7 +447,7 @@ def facility_location(spark, d):
 @query()
 def redundancy_filter(spark, d):
     e = table(spark, d, "embeddings").withColumn("neg", -F.col("vec_id") % 97)
-    return selection.redundancy_filter(e, selection.similar_vectors(e, "vec_id", "embedding", 0.3), "vec_id", ["neg"], 100).select("vec_id")
+    return selection.redundancy_filter(e, "vec_id", "embedding", ["neg"], 0.3, 100)
 
 
 @query()

@@ -276,3 +276,21 @@ def test_templates(spark, tmp_path):
     assert df.select(templates.render(F.col("m"), "mine")).first()[0] == "S<s>U:one\n\ntwo<e>\nB:three<f>\n<s>U:B:"
     with pytest.raises(ValueError):
         templates.register(templates.get("mine"))
+
+
+def test_redundancy_filter(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(25, 6))
+    x = np.concatenate([base, base[:9] + rng.normal(0, 0.2, (9, 6)), np.repeat(base[:1], 40, axis=0), np.zeros((3, 6))])
+    rows = [(k, float(rng.integers(0, 6)), v.tolist()) for k, v in enumerate(x)] + [(999, 0.0, None)]
+    kept = []
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-12)
+    for k, _, v in sorted((r for r in rows if r[2]), key=lambda r: (r[1], r[0])):
+        if all(unit(v) @ unit(o) <= 0.9 for _, o in kept):
+            kept.append((k, v))
+    df = spark.createDataFrame(rows, "k long, s double, v array<double>")
+    for block, size in ((7, None), (2048, None), (7, 12), (16, 0)):
+        got = selection.redundancy_filter(df, "k", "v", ["s"], 0.9, size, block).orderBy("rank").collect()
+        assert [r.k for r in got] == [k for k, _ in kept][:size]
+        assert [r["rank"] for r in got] == list(range(len(got)))
+    assert selection.redundancy_filter(df.limit(0), "k", "v", ["s"]).count() == 0
