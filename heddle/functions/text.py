@@ -52,8 +52,14 @@ def ngrams(items: Column, n: int) -> Column:
     """Windows of n items joined by a blank, repeats kept. ``items`` is bound once, whatever its cost."""
     if n == 1:
         return items
-    made = F.transform(F.array(items), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")))
-    return F.element_at(made, 1)
+
+    def joined(w: Column) -> Column:
+        out = w
+        for k in range(1, n):  # shifted arrays are joined place by place: no array is made for each window
+            out = F.zip_with(F.slice(out, F.lit(1), F.size(w) - k), F.slice(w, F.lit(k + 1), F.size(w) - k), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.when(F.size(w) >= n, out).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(items), joined), 1)
 
 
 def base_hash(c: Column) -> Column:

@@ -9,11 +9,12 @@ from ..functions import messages as M
 from ..functions import scores, templates
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import classes, dedup, kernel, lexical, sampling
-from ..sources import adapters
-from ..sources.tables import table
+from ..operators import classes, cohesion, dedup, kernel, lexical, sampling, selection
+from ..sources import adapters, extract
+from ..sources.tables import shared_dir, summary, table
+from ..streaming import ingest
 from . import pool
-from .catalogue import REASONS, convs, query, rounded, row
+from .catalogue import REASONS, convs, features, query, rounded, row
 
 ORDERED = "o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, coalesce(text, '') AS c FROM conversations)"
 WORDS = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
@@ -70,10 +71,8 @@ def preference_rows(spark, d):
 @query(f"WITH {ORDERED} SELECT conv_id, sum(length(c) * (i + 1))::DOUBLE AS final_score FROM o GROUP BY 1")
 def injected_scores(spark, d):
     """Scores per turn joined back as arrays; the score of a conversation is the sum over turns of their product."""
-    from ..operators.selection import final_score
-
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("quality"), (F.col("turn") + 1).alias("complexity"))
-    return M.scored(convs(spark, d), turns, "conv_id", ["quality", "complexity"]).select("conv_id", final_score("quality", "complexity").alias("final_score"))
+    return M.scored(convs(spark, d), turns, "conv_id", ["quality", "complexity"]).select("conv_id", selection.final_score("quality", "complexity").alias("final_score"))
 
 
 @query(f"WITH {REASONS} SELECT 'c::' || CASE WHEN conv_id % 7 = 0 THEN 'x_OASST2' ELSE 'conv' END || '::' || conv_id AS sample_id, CASE WHEN conv_id % 7 = 0 THEN 'excluded_source' ELSE reason END AS reason FROM v")
@@ -143,8 +142,6 @@ def candidate_pool_audit(spark, d):
 
 @query("SELECT 'text' AS \"column\", count(*)::BIGINT AS n, count(*) FILTER (WHERE text IS NULL)::BIGINT AS nulls, min(text) AS least, max(text) AS greatest FROM documents UNION ALL SELECT 'doc_id', count(*), count(*) FILTER (WHERE doc_id IS NULL), min(doc_id)::VARCHAR, max(doc_id)::VARCHAR FROM documents UNION ALL SELECT 'lang', count(*), count(*) FILTER (WHERE lang IS NULL), min(lang), max(lang) FROM documents UNION ALL SELECT 'source', count(*), count(*) FILTER (WHERE source IS NULL), min(source), max(source) FROM documents UNION ALL SELECT 'n_chars', count(*), count(*) FILTER (WHERE n_chars IS NULL), min(n_chars)::VARCHAR, max(n_chars)::VARCHAR FROM documents")
 def column_summary(spark, d):
-    from ..sources.tables import summary
-
     return summary(table(spark, d, "documents"))
 
 
@@ -179,6 +176,18 @@ def class_weights(spark, d):
     return rounded(kernel.histogram(table(spark, d, "embeddings"), "label").select("label", F.when(p > 0.1, F.lit(-1.0)).otherwise(1 - p).alias("weight")))
 
 
+def _balanced(seed: int, g: int) -> str:
+    """SQL of one group: 3 rows of each class by hash order, then 10 others."""
+    h = f"md5('{seed + g}:' || vec_id)"
+    return f"SELECT {g} AS group_id, vec_id, label FROM (SELECT *, sum(CASE WHEN p > 3 THEN 1 ELSE 0 END) OVER (ORDER BY {h}, vec_id) AS f FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {h}, vec_id) AS p FROM embeddings)) WHERE p <= 3 OR f <= 40 - (SELECT sum(least(3, n)) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))"
+
+
+@query(f"{_balanced(46, 0)} UNION ALL {_balanced(46, 1)}")
+def cluster_balanced_groups(spark, d):
+    e = table(spark, d, "embeddings")
+    return sampling.balanced_sample(e, "label", "vec_id", 2, 40, 46, per_class=3).select("group_id", "vec_id", "label")
+
+
 @query()
 def semantic_classes(spark, d):
     return classes.pca_kmeans(10)(table(spark, d, "embeddings")).select("vec_id", "sem_id")
@@ -202,3 +211,38 @@ def benchmark_sentences(spark, d):
     """N-gram Vendi score and pairwise BLEU of the 20 items of the benchmark with the least ids, a stated small set."""
     rows = [r.text.split() for r in table(spark, d, "benchmark").orderBy("item_id").limit(20).collect()]
     return row(spark, ngram_vendi=round(kernel.ngram_vendi(rows), 6), pairwise_bleu=round(lexical.pairwise_bleu(rows), 6))
+
+
+@query()
+def novelty_selection(spark, d):
+    """Four of the classes' representatives (the row of the greatest weight each), by greedy novelty of equal densities."""
+    w = cohesion.weights(features(spark, d))
+    rows = dedup.first_by(w, ["sem_id"], [F.desc("w"), "doc_id"]).orderBy("sem_id").select("doc_id", "embedding").collect()  # a row per class
+    picked = selection.novelty(np.array([r.embedding for r in rows], float), 4, np.ones(len(rows)))
+    return spark.createDataFrame([(n, rows[i].doc_id) for n, i in enumerate(picked)], "rank int, doc_id long")
+
+
+@query("SELECT item_id, round(-length(text) / 100.0::DOUBLE, 6) AS ln_probability FROM benchmark")
+def extracted_features(spark, d):
+    """The client of an outside model with a stand-in that answers out of order: minus a hundredth of a text's length."""
+
+    def transport():
+        return lambda texts: [{"index": i, "y": -len(t) / 100} for i, t in reversed(list(enumerate(texts)))]
+
+    def send():
+        ask = transport()
+        return lambda texts: [{"index": r["index"], "ln_probability": r["y"]} for r in ask(texts)]
+
+    return rounded(extract.extract(table(spark, d, "benchmark"), "item_id", "text", send, "ln_probability", "double"))
+
+
+# ---- streams
+
+
+@query("SELECT sha256(coalesce(text, '')) AS text_hash, count(*)::BIGINT * 0 + 1 AS n FROM documents GROUP BY 1")
+def streaming_ingest(spark, d):
+    """Documents read as a stream, without repeats of a text, into a table that is read back."""
+    out, state = shared_dir(spark), shared_dir(spark)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    ingest.ingest(spark, d, schema, "text", out, state, files="documents.parquet").awaitTermination()
+    return spark.read.parquet(out).groupBy("text_hash").agg(F.count("*").alias("n"))

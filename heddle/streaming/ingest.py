@@ -11,7 +11,7 @@ def deduplicated(stream: DataFrame, text: str, time: str, delay: str = "1 hour")
     return stream.withWatermark(time, delay).withColumn("text_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).dropDuplicatesWithinWatermark(["text_hash"])
 
 
-def ingest(spark: SparkSession, path: str, schema: str, text: str, out: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Runs over all files there are now, then stops; a later run with the same checkpoint goes on from there."""
-    stream = spark.readStream.schema(schema).parquet(path).withColumn("seen_at", F.current_timestamp())
+def ingest(spark: SparkSession, path: str, schema: str, text: str, out: str, checkpoint: str, delay: str = "1 hour", files: str = "*.parquet") -> StreamingQuery:
+    """Runs over all files of a folder there are now (those whose names match ``files``), then stops; a later run with the same checkpoint goes on from there."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(path).withColumn("seen_at", F.current_timestamp())
     return deduplicated(stream, text, "seen_at", delay).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
