@@ -294,3 +294,16 @@ def test_redundancy_filter(spark):
         assert [r.k for r in got] == [k for k, _ in kept][:size]
         assert [r["rank"] for r in got] == list(range(len(got)))
     assert selection.redundancy_filter(df.limit(0), "k", "v", ["s"]).count() == 0
+
+
+def test_quota_sample(spark):
+    import hashlib
+
+    rows = [(k, "hot" if k % 3 else "ab"[k % 2], "t") for k in range(300)] + [(300, None, "t"), (301, "none", "t")]
+    df = spark.createDataFrame(rows, "k long, source string, text string")
+    quotas = {"hot": 70, "a": 500, "b": 3}
+    order = lambda r: (hashlib.md5(f"9:{r[0]}".encode()).hexdigest(), r[0])
+    want = {r for s, n in quotas.items() for r in sorted((r for r in rows if r[1] == s), key=order)[:n]}
+    assert {tuple(r) for r in sampling.quota_sample(df, quotas, "k", seed=9).collect()} == want
+    assert sampling.quota_sample(df, {}, "k").count() == 0
+    assert sampling.quota_sample(df.limit(0), quotas, "k").count() == 0
