@@ -307,3 +307,11 @@ def test_quota_sample(spark):
     assert {tuple(r) for r in sampling.quota_sample(df, quotas, "k", seed=9).collect()} == want
     assert sampling.quota_sample(df, {}, "k").count() == 0
     assert sampling.quota_sample(df.limit(0), quotas, "k").count() == 0
+
+
+def test_sentence_scores():
+    same = ["a", "b", "c", "d", "e"]
+    assert lexical.pairwise_bleu([same, same]) == pytest.approx(1)
+    assert lexical.pairwise_bleu([same, ["v", "w", "x", "y", "z"]]) < 0.2
+    assert kernel.ngram_vendi([same, same, same]) == pytest.approx(1)
+    assert kernel.ngram_vendi([["a", "b"], ["c", "d"], ["e", "f"]]) == pytest.approx(3)
