@@ -1,10 +1,11 @@
 """Secret scans: exact patterns, and a character convolutional network over further candidates.
 
 Base spans come from three patterns (assigned values, access keys, long hexadecimal runs). Every other run of
-16 or more key characters with a letter and a digit is a candidate; a small network in numpy reads it
-with the characters around it. It is trained on labelled findings; its scores are calibrated on held-out
-findings and cut at the highest threshold that keeps the demanded recall there. Accepted candidates
-are added as spans of kind ``cnn``.
+16 or more key characters is a candidate, without any rule before it; a small network in numpy reads it
+with the characters around it and rejects words, slugs and numbers. It is trained on labelled findings; its
+scores are calibrated on held-out findings and cut at the highest threshold that keeps the demanded recall of
+``find`` there: a key that lies in no candidate counts as missed. Accepted candidates are added as spans of
+kind ``cnn``.
 
 Null texts count as empty; texts without findings give no spans and the hash of the empty text. Positions
 are code points of the whole text, ends exclusive.
@@ -48,14 +49,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that may be keys: both letters and digits, digits not only at an end."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        digits = sum(map(s.count, string.digits))
-        if 2 <= digits < len(s) and not s.isupper() | s.islower() or digits >= 4 and digits < len(s):
-            out.append(m.span())
-    return out
+    """All runs of key characters that are long enough; what is a key is left to the network."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
+
+
+def run_around(text: str, start: int, end: int) -> tuple[int, int]:
+    """The candidate that holds most of a labelled span; the span itself where none does."""
+    return max(candidates(text), key=lambda c: min(end, c[1]) - max(start, c[0]), default=(start, end))
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
@@ -68,6 +68,9 @@ def window(text: str, start: int, end: int) -> np.ndarray:
 
 # ---- labelled findings
 
+#: Of long words of several languages.
+SYLLABLES = "ver ge be ent er un ein aus auf ab an zu heit keit ung lich isch schaft chen taet nicht die der ist sch tz ch st en in con pro pre dis inter re de trans tion sion ment able ible ness less ful ity ive ous al ly ing ist ism eau eux aux elle que tre quer ment age ance ence cion dad mente ando iendo ar er ir os as la le li lo ma na ra ri ro sa se ta te ti to tor va vo qua quo gno gli zione".split()
+
 
 def _keys(r: random.Random) -> str:
     alnum = string.ascii_letters + string.digits
@@ -83,6 +86,10 @@ def _keys(r: random.Random) -> str:
             lambda: pick("0123456789abcdef", 32, 64),
             lambda: "eyJ" + pick(alnum + "_-", 30, 60),
             lambda: pick(alnum, 16, 24),
+            lambda: pick(alnum, 16, 18),
+            lambda: pick(r.choice([string.ascii_lowercase, string.ascii_uppercase]) + string.digits, 16, 18),
+            lambda: pick(string.ascii_lowercase + string.digits, 16, 32),
+            lambda: pick(string.ascii_uppercase + string.digits, 16, 32),
         ]
     )()
 
@@ -100,6 +107,16 @@ def _others(r: random.Random) -> str:
             lambda: "=" * r.randint(12, 30) + f"x{r.randint(10, 99)}",
             lambda: f"page-{r.randint(1, 99)}-of-{r.randint(100, 999)}-{word()}",
             lambda: word() * 3 + str(r.randint(1000, 99999)),
+            lambda: "-".join(word() for _ in range(r.randint(3, 7))),
+            lambda: "/".join(word() for _ in range(r.randint(3, 7))),
+            lambda: "".join(word().title() for _ in range(r.randint(2, 5))),
+            lambda: "_".join(word() for _ in range(r.randint(3, 6))).upper(),
+            lambda: r.choice([str, str.title, str.upper])("".join(r.choices(SYLLABLES, k=r.randint(4, 10)))),
+            lambda: "".join(r.choices(SYLLABLES, k=r.randint(5, 8))),
+            lambda: "".join(r.choices(SYLLABLES, k=r.randint(5, 8))).capitalize(),
+            lambda: r.choice("-_/").join("".join(r.choices(SYLLABLES, k=r.randint(1, 4))) for _ in range(r.randint(3, 7))),
+            lambda: r.choice("=-_+/") * r.randint(16, 80),
+            lambda: str(r.randint(10**15, 10**20)),
         ]
     )()
 
@@ -114,7 +131,7 @@ def labelled_findings(n: int = 3000, seed: int = 20) -> list[tuple[str, int, int
     while len(out) < n:
         y = r.random() < 0.5
         s = _keys(r) if y else _others(r)
-        if not any(c.isdigit() for c in s) or len(s) < 16:
+        if len(s) < 16:
             continue
         hint = r.random()
         if y and hint < 0.5 or hint < 0.05:
@@ -165,7 +182,7 @@ class Network:
 def train(findings: list[tuple[str, int, int, int]], recall: float = 0.97, epochs: int = 6, seed: int = 5) -> Network:
     """Adam on logistic loss; a fifth of the findings is held out for calibration and the threshold."""
     rng = np.random.default_rng(seed)
-    x = np.array([window(t, a, b) for t, a, b, _ in findings])
+    x = np.array([window(t, *run_around(t, a, b)) for t, a, b, _ in findings])
     y = np.array([f[3] for f in findings], np.float64)
     order = rng.permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]
@@ -201,11 +218,14 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.97, epoch
                 v1 += 0.001 * (g * g - v1)
                 q -= 0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.999**step)) + 1e-8)
             net.out_bias = float(par[4][0])
-    return _calibrated(net, x[held], y[held], recall)
+    return _calibrated(net, x[held], y[held], [findings[k] for k in held], recall)
+
 
+def _calibrated(net: Network, x: np.ndarray, y: np.ndarray, findings: list[tuple[str, int, int, int]], recall: float) -> Network:
+    """Slope and shift by Newton steps on held-out logistic loss; then the highest cut with the recall.
 
-def _calibrated(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> Network:
-    """Slope and shift by Newton steps on held-out logistic loss; then the highest cut with the recall."""
+    Recall is that of ``find`` over the keys that the patterns leave: one that lies in no candidate scores 0.
+    """
     z = net.raw(x)
     a, b = 1.0, 0.0
     for _ in range(20):
@@ -214,7 +234,9 @@ def _calibrated(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> Ne
         hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
         a, b = np.array([a, b]) - np.linalg.solve(hess, [(g * z).sum() + 1e-3 * (a - 1), g.sum() + 1e-3 * b])
     net.slope, net.shift = float(max(a, 1e-3)), float(b)
-    good = np.sort(net.score(x)[y == 1])
+    keys = [(t, a, b) for t, a, b, label in findings if label and not any(s < b and a < e for s, _, e in base_spans(t))]
+    runs = judged([t for t, _, _ in keys], net)
+    good = np.sort([max((p for s, e, p in found if s < b and a < e), default=0.0) for (_, a, b), found in zip(keys, runs, strict=True)])
     net.threshold = float(min(0.9, good[int((1 - recall) * len(good))])) if len(good) else 0.5
     return net
 
@@ -239,21 +261,21 @@ def clear(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> lis
     return out
 
 
-def find(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of all findings of each text, base ones and those the network adds."""
-    found = [base_spans(t or "") for t in texts]
-    which, spans, seen = [], [], []
-    for k, t in enumerate(texts):
-        base = found[k]
-        for a, b in clear(candidates(t), base) if t else ():
-            which.append(k)
+def judged(texts: list[str | None], net: Network) -> list[list[tuple[int, int, float]]]:
+    """(start, end, score) of each text's candidates beside its base findings."""
+    out, seen = [[] for _ in texts], []
+    for t, spans in zip(texts, out, strict=True):
+        for a, b in clear(candidates(t), base_spans(t)) if t else ():
             spans.append((a, b))
             seen.append(window(t, a, b))
-    if seen:
-        for k, (a, b), p in zip(which, spans, net.score(np.array(seen)), strict=True):
-            if p >= net.threshold:
-                found[k].append((a, 3, b))
-    return [sorted(f) for f in found]
+    p = iter(net.score(np.array(seen)) if seen else ())
+    return [[(a, b, float(next(p))) for a, b in spans] for spans in out]
+
+
+def find(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of all findings of each text, base ones and those the network adds."""
+    added = judged(texts, net)
+    return [sorted(base_spans(t or "") + [(a, 3, b) for a, b, p in found if p >= net.threshold]) for t, found in zip(texts, added, strict=True)]
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:

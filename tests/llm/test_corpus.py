@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -301,6 +302,21 @@ def test_network_recall():
     assert p[y == 1].mean() > 0.93 and p[y == 0].mean() < 0.1
 
 
+def found_share(keys, before="see ", after=" and so on"):
+    got = secret_cnn.find([before + k + after for k in keys], secret_cnn.standard_network())
+    return np.mean([any(a < len(before) + len(k) and b > len(before) for a, _, b in spans) for k, spans in zip(keys, got, strict=True)])
+
+
+def test_keys_of_few_digits_and_one_case():
+    """Through find(): no rule before the network drops a key, and it rejects words."""
+    rng = random.Random(5)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    keys = lambda chars, n: ["".join(rng.choices(chars, k=n)) for _ in range(400)]
+    assert found_share(keys(low + up + digits, 16)) > 0.85 and found_share(keys(low + digits, 20)) > 0.85
+    assert found_share([k for k in keys(low + up + digits, 24) if sum(map(str.isdigit, k)) < 2]) > 0.85
+    assert found_share(["internationalization", "well-known-and-often-used", "unverantwortlicherweise", "=" * 40]) == 0
+
+
 def test_op10_and_redaction(spark, sf, duck):
     got = {r.doc_id: r for r in queries.op10_secrets(spark, sf).collect()}
     for k, t in texts(duck):
