@@ -32,8 +32,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # of a maximal run of 32 or more the whole,
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
 KINDS = ("assign", "access", "hex", "cnn")
 
-#: Characters the network reads: of a candidate its two ends if it is longer, and the sides.
-INSIDE, SIDE = 40, 20
+#: Characters the network reads at a time, and the sides; over a longer candidate this window moves by STRIDE, and the greatest score counts.
+INSIDE, SIDE, STRIDE = 40, 20, 20
 LENGTH = INSIDE + 2 * SIDE
 CHARS = 32 + 96  # classes: code points below 128, less the controls, and two for all others
 DIM, WIDTH, FILTERS = 8, 5, 24
@@ -59,11 +59,22 @@ def run_around(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes of a candidate and its surroundings; 0 where there is nothing."""
-    inner = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
-    parts = (text[max(0, start - SIDE) : start].rjust(SIDE, "\0"), inner.ljust(INSIDE, "\0"), text[end : end + SIDE].ljust(SIDE, "\0"))
+    """Character classes of a span, of a longer one its first INSIDE, and its surroundings; 0 where there is nothing."""
+    return windows(text, start, min(end, start + INSIDE))[0]
+
+
+def places(start: int, end: int) -> list[int]:
+    """Where the windows over a candidate begin: every character lies in one, the last ends with the candidate."""
+    return [*range(start, end - INSIDE, STRIDE), max(start, end - INSIDE)]
+
+
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """Character classes of all windows over a candidate, a row each."""
+    n, at = max(end, start + INSIDE), np.array(places(start, end)) - start
+    parts = (text[max(0, start - SIDE) : start].rjust(SIDE, "\0"), text[start:end].ljust(n - start, "\0"), text[end : end + SIDE].ljust(SIDE, "\0"))
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(codes < 128, codes, 126 + (codes & 1)).astype(np.int16)
+    codes = np.where(codes < 128, codes, 126 + (codes & 1)).astype(np.int16)
+    return np.lib.stride_tricks.sliding_window_view(codes, LENGTH)[at]
 
 
 # ---- labelled findings
@@ -87,6 +98,8 @@ def _keys(r: random.Random) -> str:
             lambda: "eyJ" + pick(alnum + "_-", 30, 60),
             lambda: pick(alnum, 16, 24),
             lambda: pick(alnum, 16, 18),
+            lambda: pick(alnum, 16, 18),
+            lambda: pick(r.choice([string.ascii_lowercase, string.ascii_uppercase]) + string.digits, 16, 18),
             lambda: pick(r.choice([string.ascii_lowercase, string.ascii_uppercase]) + string.digits, 16, 18),
             lambda: pick(string.ascii_lowercase + string.digits, 16, 32),
             lambda: pick(string.ascii_uppercase + string.digits, 16, 32),
@@ -126,6 +139,8 @@ def labelled_findings(n: int = 3000, seed: int = 20) -> list[tuple[str, int, int
     r = random.Random(seed)
     word = lambda: "".join(r.choices("etaoinshrdlucmfwygpb", k=r.randint(1, 9)))
     prose = lambda k: " ".join(word() for _ in range(k))
+    part = lambda: r.choice([word(), word(), r.choice(SYLLABLES) + r.choice(SYLLABLES), str(r.randint(1, 2030))])
+    path = lambda k: r.choice("///-_").join(part() for _ in range(k))
     names = ("key", "auth", "credential", "bearer", "access", "private_key", "client_secret", "signature")
     out = []
     while len(out) < n:
@@ -140,10 +155,29 @@ def labelled_findings(n: int = 3000, seed: int = 20) -> list[tuple[str, int, int
             lead = r.choice(["", "see ", "(", "https://" + word() + ".org/", "id ", "file "])
         before = prose(r.randint(0, 5)) + r.choice([" ", "\n", ". "]) + lead
         after = r.choice(["", " ", '"', ".", "\n"]) + prose(r.randint(0, 5))
+        if r.random() < 0.25:  # inside of a longer run
+            before += path(r.randint(1, 12)) + r.choice("/=_-")
+            after = r.choice("/=_-") + path(r.randint(1, 12)) + after if r.random() < 0.7 else after
         out.append((before + s + after, len(before), len(before) + len(s), int(y)))
     return out
 
 
+def labelled_windows(findings: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows over the runs around labelled spans, and their labels.
+
+    A window of a key's run is a secret if it holds 16 characters of the key or all; one with fewer is left out.
+    """
+    x, y = [], []
+    for t, a, b, label in findings:
+        start, end = run_around(t, a, b)
+        for at, w in zip(places(start, end), windows(t, start, end), strict=True):
+            shared = min(b, at + INSIDE, end) - max(a, at)
+            if not label or shared <= 0 or shared >= min(16, b - a):
+                x.append(w)
+                y.append(label and shared > 0)
+    return np.array(x), np.array(y, np.float64)
+
+
 # ---- the network
 
 
@@ -182,10 +216,10 @@ class Network:
 def train(findings: list[tuple[str, int, int, int]], recall: float = 0.97, epochs: int = 6, seed: int = 5) -> Network:
     """Adam on logistic loss; a fifth of the findings is held out for calibration and the threshold."""
     rng = np.random.default_rng(seed)
-    x = np.array([window(t, *run_around(t, a, b)) for t, a, b, _ in findings])
-    y = np.array([f[3] for f in findings], np.float64)
-    order = rng.permutation(len(x))
-    held, used = order[: len(x) // 5], order[len(x) // 5 :]
+    order = rng.permutation(len(findings))
+    held, used = ([findings[k] for k in part] for part in (order[: len(order) // 5], order[len(order) // 5 :]))
+    (x, y), seen = labelled_windows(used), labelled_windows(held)
+    used = rng.permutation(len(x))
     net = Network(rng.normal(0, 0.3, (CHARS, DIM)), rng.normal(0, 0.2, (WIDTH * DIM, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 3 * FILTERS), 0.0)
     par = [net.embed, net.kernel, net.bias, net.out, np.zeros(1)]
     m, v = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
@@ -218,7 +252,7 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.97, epoch
                 v1 += 0.001 * (g * g - v1)
                 q -= 0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.999**step)) + 1e-8)
             net.out_bias = float(par[4][0])
-    return _calibrated(net, x[held], y[held], [findings[k] for k in held], recall)
+    return _calibrated(net, *seen, held, recall)
 
 
 def _calibrated(net: Network, x: np.ndarray, y: np.ndarray, findings: list[tuple[str, int, int, int]], recall: float) -> Network:
@@ -262,14 +296,16 @@ def clear(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> lis
 
 
 def judged(texts: list[str | None], net: Network) -> list[list[tuple[int, int, float]]]:
-    """(start, end, score) of each text's candidates beside its base findings."""
+    """(start, end, score) of each text's candidates beside its base findings: the greatest score over a candidate's windows."""
     out, seen = [[] for _ in texts], []
     for t, spans in zip(texts, out, strict=True):
         for a, b in clear(candidates(t), base_spans(t)) if t else ():
             spans.append((a, b))
-            seen.append(window(t, a, b))
-    p = iter(net.score(np.array(seen)) if seen else ())
-    return [[(a, b, float(next(p))) for a, b in spans] for spans in out]
+            seen.append(windows(t, a, b))
+    if seen:
+        starts = np.cumsum([0, *map(len, seen[:-1])])
+        p = iter(np.maximum.reduceat(net.score(np.concatenate(seen)), starts).tolist())
+    return [[(a, b, next(p)) for a, b in spans] for spans in out]
 
 
 def find(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:

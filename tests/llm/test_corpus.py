@@ -317,6 +317,20 @@ def test_keys_of_few_digits_and_one_case():
     assert found_share(["internationalization", "well-known-and-often-used", "unverantwortlicherweise", "=" * 40]) == 0
 
 
+def test_key_inside_a_long_run():
+    """Windows over a long candidate leave no character out, so a key between two paths is found."""
+    rng = random.Random(6)
+    for n in (16, 39, 40, 41, 60, 61, 100, 257):
+        at = secret_cnn.places(7, 7 + n)
+        assert {k for s in at for k in range(s, s + 40)} >= set(range(7, 7 + n)) and (n < 40 or at[-1] + 40 == 7 + n)
+        assert secret_cnn.windows("x" * (14 + n), 7, 7 + n).shape == (len(at), secret_cnn.LENGTH)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=5))
+    path = lambda: "/".join(word() for _ in range(6))
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=36)) for _ in range(200)]
+    assert found_share(keys, f"see {path()}/", f"/{path()} and") > 0.95
+    assert np.mean([bool(s) for s in secret_cnn.find([f"see {path()}/{path()}/{path()} and" for _ in range(200)], secret_cnn.standard_network())]) < 0.05
+
+
 def test_op10_and_redaction(spark, sf, duck):
     got = {r.doc_id: r for r in queries.op10_secrets(spark, sf).collect()}
     for k, t in texts(duck):
