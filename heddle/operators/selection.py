@@ -133,6 +133,79 @@ def facility_location(x: np.ndarray, k: int) -> list[int]:
     return picked
 
 
+def facility_rows(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 512, weighed: int = 64, every: int = 64) -> list[int]:
+    """Keys of k rows of a whole table by the rule of ``facility_location``, lazily; ties by key.
+
+    Gains of all rows come from the blocked comparison, and bound the later ones; the ``block`` rows of the highest bounds
+    come to the driver. A job weighs the first ``weighed`` of them exactly, and what each two gain alike. A row that is
+    picked takes at least the greatest, and at most the sum, of what it shares from the gain of another, so picks go on as
+    long as no other row can gain more. When the best falls below the bound of the rows outside of the block, all
+    gains are made anew. The rows' best similarities are in a table that is written after ``every`` picks.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("x"), F.lit(0.0).alias("best"))
+    rows, picked, new = materialize(rows), [], []
+    most = min(k, rows.count())
+
+    def better(batches, new, top=None):
+        total = 0 if top is None else np.zeros(len(top) * (len(top) + 1))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u, best = _unit(vectors.matrix(b.column(1))), b.column(2).to_numpy()
+            if len(new):
+                best = np.maximum(best, (u @ new.T).max(axis=1))
+            if top is None:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best)], names=["k", "x", "best"])
+            else:
+                g = np.maximum(u @ top.T - best[:, None], 0)
+                total += np.concatenate([g.sum(axis=0)] + [np.minimum(g, g[:, i : i + 1]).sum(axis=0) for i in range(len(top))])
+        if top is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    def weigh(ka, x, kb, y):
+        return pa.table({"k": kb, "gain": np.maximum(_unit(x[:, 1:]) @ _unit(y[:, 1:]).T - x[:, :1], 0).sum(axis=0)})
+
+    while len(picked) < most:
+        if new:
+            rows, new = materialize(rows.mapInArrow(lambda b, n=_unit(np.array(new)): better(b, n), rows.schema)), []
+        both = rows.select("k", F.concat(F.array("best"), "x").alias("x"))
+        gains = vectors.compared(both, "k", "x", weigh, "k long, gain double").groupBy("k").agg(F.sum("gain").alias("gain"))
+        if picked:
+            gains = gains.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in picked], "k long")), "k", "left_anti")
+        head = gains.orderBy(F.desc(F.round("gain", 9)), "k").limit(block + 1).collect()  # a block of bounds
+        others = (round(head[block].gain, 9), -head[block].k) if len(head) > block else (-1.0, 0)
+        wanted = [r.k for r in head[:block]]
+        x = {r.k: r.x for r in rows.filter(F.col("k").isin(wanted)).select("k", "x").collect()}
+        keys, u, gain = np.array(wanted), _unit(np.array([x[i] for i in wanted])), np.array([r.gain for r in head[:block]])
+        place = lambda g, i: (round(float(g), 9), -int(i))
+        anew = True
+        while len(picked) < most and len(keys):
+            order = np.lexsort((keys, -np.round(gain, 9)))
+            if not anew and place(gain[order[0]], keys[order[0]]) < others:
+                break
+            order, rest = order[:weighed], order[weighed : weighed + 1]
+            bound = max([others] + [place(gain[i], keys[i]) for i in rest])
+            add = np.array(new) if new else np.zeros((0, u.shape[1]))
+            parts = np.sum([r.v for r in rows.mapInArrow(lambda b, n=add, t=u[order]: better(b, n, t), "v array<double>").collect()], axis=0)
+            low, shared = parts[: len(order)].copy(), parts[len(order) :].reshape(len(order), -1)
+            high, taken = low.copy(), []
+            while len(picked) < most and len(taken) < len(order):
+                left = sorted((i for i in range(len(order)) if i not in taken), key=lambda i: place(high[i], keys[order[i]]), reverse=True)
+                i = left[0]
+                if place(low[i], keys[order[i]]) < max([bound] + [place(high[n], keys[order[n]]) for n in left[1:2]]) and (taken or not anew):
+                    break
+                taken.append(i)
+                picked.append(int(keys[order[i]]))
+                new.append(u[order[i]])
+                low, high = low - shared[i], np.minimum(high, parts[: len(order)] - shared[i])
+            anew, gain[order] = False, high
+            gone = order[taken]
+            keys, u, gain = np.delete(keys, gone), np.delete(u, gone, axis=0), np.delete(gain, gone)
+            if len(new) >= every:
+                rows, new = materialize(rows.mapInArrow(lambda b, n=np.array(new): better(b, n), rows.schema)), []
+    return picked
+
+
 def expected_quality(logits: list[float | None]) -> float:
     """The mean of 1 to 6 under the softmax of six logits; 3 where one is missing."""
     if len(logits) != 6 or any(v is None or not math.isfinite(v) for v in logits):

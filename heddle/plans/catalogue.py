@@ -436,12 +436,11 @@ def k_center(spark, d):
 
 @query()
 def facility_location(spark, d):
-    """Greedy on one vector per class, the one of the greatest weight; scored against all rows."""
-    w = cohesion.weights(features(spark, d))
-    rows = dedup.first_by(w, ["sem_id"], [F.desc("w"), "doc_id"]).orderBy("sem_id").select("doc_id", "embedding").collect()  # a row per class
-    keep = selection.facility_location(np.array([r.embedding for r in rows], float), max(1, len(rows) // 2))
-    chosen = table(spark, d, "embeddings").filter(F.col("vec_id").isin([rows[k].doc_id for k in keep]))
-    return rounded(geometric.coverage(table(spark, d, "embeddings"), chosen))
+    """Lazy greedy over all rows, a tenth of them; scored against all rows."""
+    e = table(spark, d, "embeddings")
+    keep = selection.facility_rows(e, max(1, e.count() // 10))
+    chosen = e.join(F.broadcast(spark.createDataFrame([(k,) for k in keep], "vec_id long")), "vec_id", "left_semi")
+    return rounded(geometric.coverage(e, chosen))
 
 
 @query()

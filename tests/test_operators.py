@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from heddle.functions import messages as M
 from heddle.functions import text as X
 from heddle.operators import dedup, geometric, kernel, lexical, sampling, selection
-from heddle.plans import pool
+from heddle.plans import catalogue, pool
 from heddle.sources import adapters, extract
 
 
@@ -137,6 +137,28 @@ def test_selection_kernels():
     assert selection.expected_quality([0.0] * 6) == 3.5 and selection.expected_quality([None] * 6) == 3.0
 
 
+def vectors_and_table(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(6, 5))[rng.integers(0, 6, n)] + rng.normal(0, 0.3, (n, 5))
+    return x, spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_facility_rows(spark, block):
+    """Over all rows of a table as the kernel over the matrix, with gains made anew and without."""
+    x, df = vectors_and_table(spark, 60, 8)
+    assert selection.facility_rows(df, 11, block=block, weighed=5, every=3) == selection.facility_location(x, 11)
+
+
+def test_facility_query_takes_a_tenth_of_all_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = (u @ u[selection.facility_location(x, len(x) // 10)].T).max(axis=1)
+    got = catalogue.QUERIES["facility_location"](spark, sf).first()
+    assert got.coverage == pytest.approx(best.sum(), abs=1e-4) and got.mean_coverage == pytest.approx(best.mean(), abs=1e-6)
+
+
 def test_message_tree(spark):
     n = lambda i, p, role, rank, text, deleted=False: (i, p, "t", role, rank, text, deleted, True, "ready_for_export")
     rows = [n("a", None, "prompter", None, "q"), n("b", "a", "assistant", 1, "worse"), n("c", "a", "assistant", 0, "better"), n("d", "c", "prompter", None, "more"), n("e", "d", "assistant", 0, "gone", True)]
