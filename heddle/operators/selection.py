@@ -133,6 +133,47 @@ def facility_location(x: np.ndarray, k: int) -> list[int]:
     return picked
 
 
+def novelty_rows(df: DataFrame, k: int, rho: DataFrame, key: str = "vec_id", vector: str = "embedding", power: float = 1.0, every: int = 8) -> list[int]:
+    """Keys of k rows of a whole table by the rule of ``novelty``: the least key first; ties by key.
+
+    ``rho`` has the key and a density of each row. A job per picked row: every batch yields its best row, and only those
+    come to the driver. Every few steps the rows' weighted distances to what was picked are written.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("x"))
+    rows = rows.join(rho.select(F.col(key).cast("long").alias("k"), "rho"), "k", "left").select("k", F.transform("x", lambda v: v.cast("double")).alias("x"), F.coalesce("rho", F.lit(1.0)).alias("rho"), F.array().cast("array<double>").alias("far"))
+    rows = materialize(rows)
+    first = rows.agg(F.min(F.struct("k", "x", "rho")).alias("m")).first().m
+    picked, new = ([first] if first and k > 0 else []), []
+    while picked and len(picked) < k:
+        new.append(picked[-1])
+        u, dense, gone = _unit(np.array([r.x for r in new], float)), np.array([r.rho for r in new]), np.array([r.k for r in picked])
+
+        def run(batches, u=u, dense=dense, gone=gone, best=True):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, r = vectors.matrix(b.column(1)), b.column(2).to_numpy()
+                far = np.concatenate([vectors.matrix(b.column(3)), (1 - _unit(x) @ u.T) * (r[:, None] + dense)], axis=1)
+                if not best:
+                    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1, dtype=np.int32) * far.shape[1]), pa.array(far.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), rows], names=["k", "x", "rho", "far"])
+                    continue
+                gain = np.round((np.sort(far, axis=1) / np.arange(1, far.shape[1] + 1) ** power).mean(axis=1), 12)
+                keys = b.column(0).to_numpy()
+                gain[np.isin(keys, gone)] = -np.inf
+                i = int(np.lexsort((keys, -gain))[0])
+                if gain[i] > -np.inf:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 1]), b.column(1).slice(i, 1), pa.array(r[i : i + 1]), pa.array(gain[i : i + 1])], names=["k", "x", "rho", "gain"])
+
+        top = rows.mapInArrow(run, "k long, x array<double>, rho double, gain double").orderBy(F.desc("gain"), "k").first()
+        if top is None:
+            break
+        picked.append(top)
+        if len(new) == every:
+            rows, new = materialize(rows.mapInArrow(lambda batches, f=run: f(batches, best=False), rows.schema)), []
+    return [r.k for r in picked]
+
+
 def facility_rows(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 512, weighed: int = 64, every: int = 64) -> list[int]:
     """Keys of k rows of a whole table by the rule of ``facility_location``, lazily; ties by key.
 

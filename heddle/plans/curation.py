@@ -9,12 +9,12 @@ from ..functions import messages as M
 from ..functions import scores, templates
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import classes, cohesion, dedup, kernel, lexical, sampling, selection
+from ..operators import classes, dedup, geometric, kernel, lexical, sampling, selection
 from ..sources import adapters, extract
 from ..sources.tables import shared_dir, summary, table
 from ..streaming import ingest
 from . import pool
-from .catalogue import REASONS, convs, features, query, rounded, row
+from .catalogue import REASONS, convs, query, rounded, row
 
 ORDERED = "o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, coalesce(text, '') AS c FROM conversations)"
 WORDS = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
@@ -215,11 +215,11 @@ def ngram_vendi(spark, d):
 
 @query()
 def novelty_selection(spark, d):
-    """Four of the classes' representatives (the row of the greatest weight each), by greedy novelty of equal densities."""
-    w = cohesion.weights(features(spark, d))
-    rows = dedup.first_by(w, ["sem_id"], [F.desc("w"), "doc_id"]).orderBy("sem_id").select("doc_id", "embedding").collect()  # a row per class
-    picked = selection.novelty(np.array([r.embedding for r in rows], float), 4, np.ones(len(rows)))
-    return spark.createDataFrame([(n, rows[i].doc_id) for n, i in enumerate(picked)], "rank int, doc_id long")
+    """Four of all rows by greedy novelty, with densities of ten neighbours."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    rho = geometric.density(e, "doc_id", k=10)
+    picked = selection.novelty_rows(e, 4, rho, "doc_id")
+    return spark.createDataFrame(list(enumerate(picked)), "rank int, doc_id long")
 
 
 @query("SELECT item_id, round(-length(text) / 100.0::DOUBLE, 6) AS ln_probability FROM benchmark")

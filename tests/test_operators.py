@@ -159,6 +159,20 @@ def test_facility_query_takes_a_tenth_of_all_rows(spark, sf):
     assert got.coverage == pytest.approx(best.sum(), abs=1e-4) and got.mean_coverage == pytest.approx(best.mean(), abs=1e-6)
 
 
+def test_novelty_rows(spark, sf):
+    """Over all rows of a table as the kernel over the matrix, and the query with densities of ten neighbours."""
+    x, df = vectors_and_table(spark, 60, 9)
+    rho = np.random.default_rng(1).uniform(0.2, 3, 60)
+    dense = spark.createDataFrame([(k, float(v)) for k, v in enumerate(rho)], "vec_id long, rho double")
+    assert selection.novelty_rows(df, 11, dense, every=3) == selection.novelty(x, 11, rho)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    sq = np.sort(((x[:, None] - x[None]) ** 2).sum(axis=2) + np.diag([np.inf] * len(x)), axis=1)[:, :10]
+    want = selection.novelty(x, 4, 1 / np.sqrt(sq.mean(axis=1) + 1e-9))
+    got = catalogue.QUERIES["novelty_selection"](spark, sf).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [rows[i].vec_id for i in want]
+
+
 def test_message_tree(spark):
     n = lambda i, p, role, rank, text, deleted=False: (i, p, "t", role, rank, text, deleted, True, "ready_for_export")
     rows = [n("a", None, "prompter", None, "q"), n("b", "a", "assistant", 1, "worse"), n("c", "a", "assistant", 0, "better"), n("d", "c", "prompter", None, "more"), n("e", "d", "assistant", 0, "gone", True)]
