@@ -136,8 +136,20 @@ def mode_dropping_groups(spark, d):
 @query("SELECT 'duplicate_ids' AS \"check\", 0::BIGINT AS failures UNION ALL VALUES ('invalid_messages', 0), ('misaligned', 0), ('places', 0)")
 def candidate_pool_audit(spark, d):
     c = M.conversations(table(spark, d, "conversations")).select(F.col("conv_id").alias("id"), F.lit("conv").alias("source"), "messages")
-    made = pool.build(adapters.chat_rows(c, "c"), None, 5, near=False, base=2)["pool"]
-    return pool.audit(made, made.select("sample_id", F.col("candidate_index").alias("row_index"), "doc"))
+    return pool_audited(spark, adapters.chat_rows(c, "c"), table(spark, d, "benchmark"))
+
+
+def pool_audited(spark, records, benchmark):
+    """A pool of half the valid rows, without what is near to the benchmark or to another row, against its exported tables."""
+    dev = benchmark.select("item_id", F.col("text").alias("doc"), F.col("text").alias("prompt"))
+    target = max(1, records.filter("reason IS NULL").count() // 2)
+    made = pool.build(records, dev, target, base=2, dev_id="item_id")["pool"]
+    path = shared_dir(spark)
+    pool.export(spark, made, path)
+    read = lambda name, more: spark.read.schema(f"row_index long, sample_id string, {more}").json(f"{path}/{name}")
+    messages = read("canonical", "messages array<struct<role:string,content:string>>").withColumnRenamed("row_index", "candidate_index")
+    docs = read("docs", "doc string").join(made.select("sample_id", "doc"), ["sample_id", "doc"], "left_semi")
+    return pool.audit(made.select("sample_id", "candidate_index").join(messages, ["sample_id", "candidate_index"], "left"), docs)
 
 
 @query("SELECT 'text' AS \"column\", count(*)::BIGINT AS n, count(*) FILTER (WHERE text IS NULL)::BIGINT AS nulls, min(text) AS least, max(text) AS greatest FROM documents UNION ALL SELECT 'doc_id', count(*), count(*) FILTER (WHERE doc_id IS NULL), min(doc_id)::VARCHAR, max(doc_id)::VARCHAR FROM documents UNION ALL SELECT 'lang', count(*), count(*) FILTER (WHERE lang IS NULL), min(lang), max(lang) FROM documents UNION ALL SELECT 'source', count(*), count(*) FILTER (WHERE source IS NULL), min(source), max(source) FROM documents UNION ALL SELECT 'n_chars', count(*), count(*) FILTER (WHERE n_chars IS NULL), min(n_chars)::VARCHAR, max(n_chars)::VARCHAR FROM documents")

@@ -221,6 +221,18 @@ def test_pool(spark, tmp_path):
         pool.export(spark, out["pool"], path)
 
 
+def test_pool_query_builds_exports_and_audits(spark, monkeypatch):
+    """Half the valid rows are asked for, decontaminated and without near copies; faults in the exported tables are seen."""
+    seen, build, export = [], pool.build, pool.export
+    monkeypatch.setattr(pool, "build", lambda *a, **k: seen.append((a, k, build(*a, **k))) or seen[-1][2])
+    monkeypatch.setattr(pool, "export", lambda spark, made, path: export(spark, made.filter("candidate_index <> 2"), path))
+    got = {r.check: r.failures for r in catalogue.QUERIES["candidate_pool_audit"](spark, "/root/testdata/sf0.01").collect()}
+    (records, dev, target), options, out = seen[0]
+    assert target == records.filter("reason IS NULL").count() // 2 > 5 and dev.count() == 40 and options.get("near", True)
+    assert {"contaminated", "duplicates"} <= set(out) and out["pool"].count() > 5
+    assert got == {"duplicate_ids": 0, "invalid_messages": 1, "misaligned": 1, "places": 0}
+
+
 def test_near_duplicates_by_rounds(spark):
     """The sequential rule: a record goes if it shares a bucket with, and is similar to, an earlier kept one."""
     rng = np.random.default_rng(3)
