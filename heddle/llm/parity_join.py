@@ -16,7 +16,8 @@ parts say little.
 4. Components by alternating large-star and small-star steps over links, on written tables.
 
 Null texts, and texts without words, have empty sets and no links. Repeated rows and equal texts share
-a class. Extra columns are ignored.
+a class, so do equal texts of null doc_ids. Very long texts are one set each. Extra columns are ignored; an empty table
+gives an empty result. Written tables that the result does not read are deleted as soon as they are used.
 """
 
 from __future__ import annotations
@@ -30,12 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, pieces
+from .shared import discard, materialize, pieces
 
-#: Growth of the size bands, and bits of the map of wanted documents (2 MB, whatever the input).
-GROWTH, MAP_BITS = 1.3, 1 << 24
-#: Members in a block when keys are compared in blocks.
-BLOCK = 1024
+#: Growth of the size bands.
+GROWTH = 1.3
+#: The map of wanted documents has 8 bits for each of them, a power of two between these (64 KB to 16 MB).
+LEAST_BITS, MOST_BITS = 1 << 19, 1 << 27
+#: Bits of the map that one row of its table holds.
+STRIP = 1 << 16
+#: Members in a block when keys are compared in blocks: a task reads two blocks at a time.
+BLOCK = 256
 U = np.uint64
 
 
@@ -124,7 +129,7 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str, k: int, percent: int)
 
         sk = Sketcher(percent)
         for batch in batches:
-            for part in pieces(batch, 1024, text):
+            for part in pieces(batch, 512, text):
                 n, fp, keys, ends, band, sketches = [], [], [np.empty(0, np.int64)], [0], [], []
                 for t in part.column(text).to_pylist():
                     s = shingles(t, k)
@@ -142,15 +147,29 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str, k: int, percent: int)
 
 
 def _set_table(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """fp and set of the documents in ``wanted`` (fp, rep). A bit map of fixed size keeps most others out early."""
+    """fp and set of the documents in ``wanted`` (fp, rep), a written table. A bit map keeps most others out early.
+
+    The map grows with the number wanted up to MOST_BITS; beyond some 1e8 wanted documents it lets more others
+    through, whose sets the join then drops.
+    """
     spark = docs.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    size = LEAST_BITS
+    while size < min(MOST_BITS, 8 * wanted.count()):
+        size *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     at = wanted.select(place(F.col("rep")).alias("at"))
-    words = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, int(at % 64)) AS b").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).collect()  # MAP_BITS / 64 rows at most
-    bits = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words:
-        bits[r.w] = r.b
-    held = spark.sparkContext.broadcast(bits)
+    words = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, int(at % 64)) AS b").groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+
+    def strip(t: pa.Table) -> pa.Table:
+        bits = np.zeros(STRIP // 64, np.int64)
+        bits[t.column("w").to_numpy() % len(bits)] = t.column("b").to_numpy()
+        return pa.table({"strip": t.column("strip")[:1], "bits": [bits.tobytes()]})
+
+    strips = words.withColumn("strip", F.expr(f"w div {STRIP // 64}")).groupBy("strip").applyInArrow(strip, "strip long, bits binary").collect()  # MOST_BITS / STRIP rows at most
+    bits = np.zeros((size // STRIP, STRIP // 64), np.int64)
+    for r in strips:
+        bits[r.strip] = np.frombuffer(r.bits, np.int64)
+    held = spark.sparkContext.broadcast(bits.ravel())
     schema = T.StructType([docs.schema[doc_id], T.StructField("fp", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches):
@@ -191,7 +210,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough: a, b."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp"))
     sets = materialize(_set_table(docs, doc_id, text, k, wanted))
 
     def run(batches):
@@ -205,7 +224,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int,
             yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     side = lambda x: sets.select(F.col("fp").alias(x), F.col("set").alias(f"s{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    out = materialize(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct())
+    discard(sets, wanted)
+    return out
 
 
 def _blocks(members: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
@@ -273,7 +294,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours and itself move to its least neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct())
+        last, edges = edges, materialize(small.distinct())
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -299,23 +321,27 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     check = lambda pairs: _verified(pairs, base, "doc_id", "text", k, percent, classes)
     pairs = members.filter("fp <> lo").select(F.col("lo").alias("a"), F.col("fp").alias("b"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("band")).distinct()
     tested = materialize(_sketched(pairs, sketches, percent).distinct())
-    links = materialize(check(tested))
-    comp = materialize(components(links))
+    links = check(tested)
+    done, comp = [members, tested, links], materialize(components(links))
     for all_pairs in (False, True):
         left = members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
         left = materialize(left.join(left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size"), "key"))
+        done.append(left)
         if left.isEmpty():
             break
-        left = left.withColumns({"band": F.col("key").bitwiseAND(F.lit(255)).cast("int"), "of": F.ceil(F.col("size") / BLOCK).cast("int")})
-        left = left.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int")).join(sketches, ["fp", "band"])
-        left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
-        new = _blocks(left.select("key", "i", "j", "blk", "fp", "comp", "n", "sketch"), percent, all_pairs).join(tested, ["a", "b"], "left_anti")
-        new = materialize(new)
+        dealt = left.withColumns({"band": F.col("key").bitwiseAND(F.lit(255)).cast("int"), "of": F.ceil(F.col("size") / BLOCK).cast("int")})
+        dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int")).join(sketches, ["fp", "band"])
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
+        new = materialize(_blocks(dealt.select("key", "i", "j", "blk", "fp", "comp", "n", "sketch"), percent, all_pairs).join(tested, ["a", "b"], "left_anti"))
+        done.append(new)
         if not new.isEmpty():
-            more = materialize(check(new))
+            more = check(new)
+            done.append(more)
             tested, links = tested.union(new), links.union(more)
             if not more.isEmpty():
+                done.append(comp)
                 comp = materialize(components(links))
+    discard(*done)
     known = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
     least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = known.join(least, "comp").select("fp", "component_id")

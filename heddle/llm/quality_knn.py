@@ -1,72 +1,66 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms of a text are pairs of adjacent byte classes, as square roots of their shares, and shares of
-repeated words, three-word runs and lines. A bounded sample of labelled texts gives the mean, the spread
-and the singular vectors of the terms; each text becomes a vector of ``rank`` latent dimensions. The
-labelled vectors are broadcast, every document is compared with all of them by cosine in blocks, and
-its nearest ``k`` vote with weights of similarity.
+Terms of a text are hashed: byte runs of 2 to 4, words in lower case and pairs of words, as square roots of their
+shares, and four terms for repetition (adjacent words, three-word runs, lines, shortness). Terms are weighted
+by the inverse document frequencies of a bounded sample of labelled texts, and the sample's leading singular vectors
+are the latent dimensions. The labelled vectors are broadcast, every document is compared with all of them by cosine in
+blocks, and its nearest ``k`` vote with weights of similarity.
 
 A null or empty text has no direction; it gets the share of good labels in the sample. Of repeated labels
-of a document the mean holds. Ties at the k-th place all vote. Without labels of both kinds every
-score is that share (1 where there are none at all).
+of a document the mean holds, of repeated documents the least text is learned from; each row is scored. Ties at the k-th place all
+vote. Without labels of both kinds every score is that share (1 where there are none at all). An empty table gives an
+empty result; input columns named like a new one are replaced (``names`` gives other names), all others stay.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import append, spread, trained_on
+from .shared import append, pieces, spread, trained_on
 
-CLASSES = 32
-TERMS = CLASSES * CLASSES + 6
+#: Hashed terms of byte runs and of words, each a power of two, and those for repetition.
+BITS = 11
+RUNS, WORDS, REPEATS = 1 << BITS, 1 << BITS, 4
+TERMS = RUNS + WORDS + REPEATS
 #: Labelled texts to learn from, for each label: a bound of the fit, whatever the input.
 SAMPLE = 2000
-RANK, NEIGHBOURS, SHARPNESS = 48, 25, 4.0
+RANK, NEIGHBOURS, SHARPNESS = 64, 25, 4.0
+U = np.uint32
+MULTIPLY = U(2654435761)
 
 
-def _classes() -> np.ndarray:
-    """The class of each byte: frequent letters alone, the others by kind."""
-    kind = np.full(256, 23, np.uint16)  # other signs
-    kind[:32] = 27
-    kind[127] = 27
-    kind[128:192], kind[192:] = 26, 25
-    kind[ord("a") : ord("z") + 1] = 13
-    kind[ord("A") : ord("Z") + 1] = 14
-    kind[ord("0") : ord("9") + 1] = 15
-    for n, c in enumerate(b"aeioutnsrhld"):
-        kind[c] = n + 1
-    for n, group in enumerate((b" \t\r\x0b\x0c", b"\n", b".", b",", b"!?", b"|", b"#$%&*<>", b"\"'")):
-        for c in group:
-            kind[c] = 16 + n if n < 7 else 24
-    return kind
-
-
-KIND = _classes()
+def _hashed(codes: np.ndarray, salt: int) -> np.ndarray:
+    return (codes + U(salt)) * MULTIPLY >> U(32 - BITS)
 
 
 def terms(text: str | None) -> np.ndarray:
+    """Weights of a text's terms before those of the sample: square roots of shares."""
     out = np.zeros(TERMS, np.float32)
     if not text:
         return out
     data = text.encode()
-    c = KIND[np.frombuffer(data, np.uint8)]
-    if len(c) > 1:
-        out[: CLASSES * CLASSES] = np.sqrt(np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) / (len(c) - 1))
+    c = np.frombuffer(data, np.uint8).astype(U)
+    two = c[:-1] << U(8) | c[1:]
+    three = two[:-1] << U(8) | c[2:]
+    four = three[:-1] << U(8) | c[3:]
+    runs = np.concatenate([_hashed(two, 1), _hashed(three, 0x9E3779B9), _hashed(four, 0x7F4A7C15)])
+    out[:RUNS] = np.sqrt(np.bincount(runs, minlength=RUNS) / len(c))
     words = data.split()
     n = len(words)
     if n:
+        h = np.fromiter(map(zlib.crc32, data.lower().split()), U, n)
+        out[RUNS : RUNS + WORDS] = np.sqrt(np.bincount(np.concatenate([_hashed(h, 0), _hashed(h[:-1] * U(31) + h[1:], 0)]), minlength=WORDS) / n)
         same = sum(map(bytes.__eq__, words, words[1:]))
-        runs = n - 2 - len(set(zip(words, words[1:], words[2:]))) if n > 2 else 0
+        again = n - 2 - len(set(zip(words, words[1:], words[2:]))) if n > 2 else 0
         lines = [x for x in data.split(b"\n") if x.strip()]
-        capitals, signs = np.count_nonzero(c == 14), np.count_nonzero((c >= 20) & (c <= 23))
-        out[CLASSES * CLASSES :] = np.sqrt(np.array([same, runs, 0, 0, capitals / 4, signs / 2]) / n)
-        out[CLASSES * CLASSES + 2] = (1 - len(set(lines)) / len(lines)) ** 0.5
-        out[CLASSES * CLASSES + 3] = min(1.0, 5 / n) ** 0.5
+        out[RUNS + WORDS :] = np.sqrt([same / n, again / n, 1 - len(set(lines)) / len(lines), min(1.0, 5 / n)])
     return out
 
 
@@ -74,7 +68,7 @@ def terms(text: str | None) -> np.ndarray:
 class Model:
     """What is broadcast: at most 2 * SAMPLE vectors of RANK numbers, and their labels."""
 
-    centre: np.ndarray
+    weights: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -82,10 +76,9 @@ class Model:
     k: int = NEIGHBOURS
 
     def embed(self, x: np.ndarray) -> np.ndarray:
-        filled = x.any(axis=1)
-        v = (x - self.centre) @ self.axes
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.where(filled[:, None], v / np.maximum(norm, 1e-9), 0).astype(np.float32)
+        """Unit vectors of latent dimensions; zeros for a text without terms."""
+        v = (x * self.weights) @ self.axes
+        return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -95,42 +88,59 @@ class Model:
         k = min(self.k, near.shape[1])
         least = np.partition(near, -k, axis=1)[:, -k:-k + 1 or None].min(axis=1, keepdims=True)
         weight = np.where(near >= least, np.maximum(near, 0).astype(np.float64) ** SHARPNESS, 0)
+        # a text without terms has cosine 0 with all, so its weights are 0 and the prior holds
         return np.clip((weight @ self.labels + 1e-6 * self.prior) / (weight.sum(axis=1) + 1e-6), 0, 1)
 
 
 def fit(x: np.ndarray, labels: np.ndarray, rank: int = RANK, k: int = NEIGHBOURS) -> Model:
-    """The latent space of labelled term vectors by singular value decomposition of their Gram matrix."""
+    """Inverse document frequencies and the latent space of labelled term vectors, and their place in it."""
     prior = float(labels.mean()) if len(labels) else 1.0
     if len(labels) < 2 or labels.min() == labels.max():
-        return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior, k)
-    centre = x.mean(axis=0, dtype=np.float64)
-    spread_ = np.maximum(x.std(axis=0, dtype=np.float64), 0.01)
-    z = (x - centre) / np.sqrt(spread_)
-    values, axes = np.linalg.eigh(z.T @ z)
-    axes = axes[:, ::-1][:, :rank] / np.sqrt(spread_)[:, None]
-    model = Model(centre.astype(np.float32), axes.astype(np.float32), np.zeros((0, 1)), labels.astype(np.float64), prior, k)
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior, k)
+    weights = np.maximum(np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))), 0.05).astype(np.float32)
+    weights[RUNS + WORDS :] = 1
+    model = Model(weights, leading(x * weights, rank), np.zeros((0, 1)), labels.astype(np.float64), prior, k)
     model.vectors = model.embed(x)
     return model
 
 
+def leading(z: np.ndarray, rank: int, steps: int = 4, seed: int = 0) -> np.ndarray:
+    """The leading right singular vectors of z as columns, by subspace iteration from a fixed start."""
+    q = np.random.default_rng(seed).normal(size=(z.shape[1], min(rank + 16, *z.shape)))
+    for _ in range(steps):
+        q = np.linalg.qr(z.T @ (z @ q))[0]
+    return (q @ np.linalg.svd(z @ q, full_matrices=False)[2].T)[:, :rank].astype(np.float32)
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> DataFrame:
     """doc_id, text and y of at most ``per_label`` labelled documents of each kind, all from the learning rows."""
     rows = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(trained_on(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     of = lambda good: rows.filter((F.col("y") >= 0.5) == F.lit(good)).orderBy(spread(F.col("doc_id")), "doc_id").limit(per_label)
-    return docs.select("doc_id", "text").join(F.broadcast(of(True).union(of(False))), "doc_id")  # 2 * per_label ids
+    chosen = docs.select("doc_id", "text").join(F.broadcast(of(True).union(of(False))), "doc_id")  # 2 * per_label ids
+    return chosen.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # of an id one text, so the bound holds
+
+
+def _sparse(batches):
+    """doc_id, y, and the places and weights of the terms of each text that are not 0."""
+    for batch in batches:
+        for part in pieces(batch, 256, "text"):
+            x = [terms(t) for t in part.column("text").to_pylist()]
+            at = [np.flatnonzero(v).astype(np.uint16) for v in x]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary())], names=["doc_id", "y", "at", "weight"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
-    """Terms are counted on the executors; only vectors of the bounded sample come to the driver."""
-    fields = [T.StructField("terms", T.BinaryType())]
-    rows = append(sample(docs, labels, per_label), "text", fields, lambda: lambda texts: [[terms(t).tobytes() for t in texts]]).select("doc_id", "y", "terms").collect()
-    # of rows that repeat a doc_id at most per_label copies a label are kept, so the bound holds
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.y, bytes(r.terms)))
-    x = np.array([np.frombuffer(r.terms, np.float32) for r in rows], np.float32).reshape(len(rows), TERMS)
+    """Terms are counted on the executors; only those of the bounded sample come to the driver, as sparse vectors."""
+    rows = sample(docs, labels, per_label).select("doc_id", "text", "y")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.mapInArrow(_sparse, f"doc_id {kind}, y double, at binary, weight binary").orderBy("doc_id").collect()  # 2 * per_label rows
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.weight, np.float32)
     return fit(x, np.array([r.y for r in rows], float))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Appends score (0 to 1, higher is better) and predicted (1 where score >= threshold)."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
@@ -143,4 +153,4 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
 
         return run
 
-    return append(df, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, rows=512)
+    return append(df, text, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], make, rows=512)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import parity_join, quality_knn, quality_rules, rank_langid, secret_cnn, sentencepiece_codec, source_mix, telephony, token_rollup, warc_revisit
+from . import parity_join, quality_knn, quality_rules, rank_langid, secret_cnn, sentencepiece_codec, source_mix, telephony, token_rollup, warc_records, warc_revisit
 from .shared import materialize, shared_dir, table, trained_on
 
 
@@ -28,7 +28,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", count(r"[^\x20\x09-\x0D]+").alias("w"), count(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]").alias("s"))
     docs = materialize(docs)
     change = lambda df, version, n, op: df.select("doc_id", F.lit(version).alias("tokenizer_version"), "source", "lang", n.alias("n_tokens"), F.lit(op).alias("op"))
-    rollup = token_rollup.TokenRollup(spark, shared_dir(spark))
+    rollup = token_rollup.TokenRollup(spark, shared_dir(spark), buckets=16, compact_after=3)
     fifth, eleventh = docs.filter("doc_id % 5 = 0"), docs.filter("doc_id % 11 = 0")
     signs = change(docs, "signs-1", F.col("s"), "insert")
     rollup.commit(0, change(docs, "words-1", F.col("w"), "insert"))
@@ -57,7 +57,9 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.describe(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    """The WAVE files are written to the shared folder as a column, and read back from there."""
+    stored = materialize(telephony.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return telephony.digests(telephony.read_back(stored))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,24 +73,29 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl(pages: DataFrame) -> DataFrame:
-    """A crawl log of ``pages``: a response each, a revisit before it without validators and one after it, whose tag differs for every third page."""
-    tag = F.md5(F.coalesce("html", F.lit("")))
-    p = pages.select("page_id", "url", tag.alias("tag"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("len"))
+    """WARC records of ``pages``: a response each, a revisit before it without validators and one after it, whose tag differs for every third page."""
+    body = F.coalesce("html", F.lit(""))
+    tag = F.md5(body)
+    p = pages.select("page_id", "url", tag.alias("tag"), F.length(body).cast("string").alias("len"), body.cast("binary").alias("body"))
     lit, ts = F.lit, lambda n: F.col("page_id") * 10 + n
     head = lambda *kv: F.create_map(*[x if not isinstance(x, str) else lit(x) for x in kv])
-    row = lambda k, n, kind, etag, headers: F.struct((F.col("page_id") * 4 + k).alias("record_id"), "url", ts(n).alias("ts"), lit(kind).alias("kind"), etag.alias("etag"), lit(None).cast("string").alias("last_modified"), headers.alias("headers"))
+    row = lambda k, n, kind, status, headers, body: F.struct(F.concat(lit("urn:page:"), (F.col("page_id") * 4 + k).cast("string")).alias("record_id"), "url", ts(n).alias("ts"), lit(kind).alias("kind"), lit(None if kind == "response" else warc_records.NOT_MODIFIED).cast("string").alias("profile"), lit(status).alias("status"), headers.alias("headers"), body.alias("body"))
     date = lambda n: ts(n).cast("string")
     new = F.when(F.col("page_id") % 3 == 0, F.concat("tag", lit("x"))).otherwise(F.concat(lit("W/"), "tag"))
+    nothing = lit(None).cast("binary")
     rows = F.array(
-        row(0, 0, "response", F.col("tag"), head("content-type", "text/html", "content-length", F.col("len"), "date", date(0), "etag", F.col("tag"))),
-        row(1, 5, "revisit", new, head("cache-control", "max-age=60", "content-length", "0", "date", date(5), "etag", new)),
-        row(2, -1, "revisit", lit(None).cast("string"), head("content-length", "0", "date", date(-1))),
+        row(0, 0, "response", 200, head("content-type", "text/html", "content-length", F.col("len"), "date", date(0), "etag", F.col("tag")), F.col("body")),
+        row(1, 5, "revisit", 304, head("cache-control", "max-age=60", "content-length", "0", "date", date(5), "etag", new), nothing),
+        row(2, -1, "revisit", 304, head("content-length", "0", "date", date(-1)), nothing),
     )
-    return p.select(F.explode(rows).alias("r")).select("r.*")
+    return warc_records.written(p.select(F.explode(rows).alias("r")).select("r.*")).select("content")
 
 
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc_revisit.resolve(crawl(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    """A crawl of ``pages``, written as WARC records and parsed from their bytes."""
+    records = materialize(warc_records.parsed(crawl(table(spark, sf_dir, "pages").select("page_id", "url", "html"))))
+    number = F.regexp_extract("record_id", "[0-9]+$", 0).cast("long")
+    out = warc_revisit.resolve(records.withColumn("record_id", number))
     entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return out.withColumn("headers", F.array_join(entries, ";"))
 

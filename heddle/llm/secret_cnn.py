@@ -1,14 +1,15 @@
 """Secret scans: exact patterns, and a character convolutional network over further candidates.
 
-Base spans come from three patterns (assigned values, access keys, long hexadecimal runs). Every other run of
+Base spans come from three patterns (assigned values, access keys, long hexadecimal runs) and always stay. Every other run of
 16 or more key characters is a candidate, without any rule before it; a small network in numpy reads it
-with the characters around it and rejects words, slugs and numbers. It is trained on labelled findings; its
-scores are calibrated on held-out findings and cut at the highest threshold that keeps the demanded recall of
-``find`` there: a key that lies in no candidate counts as missed. Accepted candidates are added as spans of
-kind ``cnn``.
+with the characters around it and rejects words, slugs and numbers. It is trained on labelled findings (made ones, as no
+table holds any; ``train`` takes others); its scores are calibrated on held-out findings and cut at the highest threshold
+that keeps the demanded recall of ``find`` there: a key that lies in no candidate counts as missed. Accepted candidates are
+added as spans of kind ``cnn``. The network scores base spans too; ``scores`` gives what it makes of each span.
 
 Null texts count as empty; texts without findings give no spans and the hash of the empty text. Positions
-are code points of the whole text, ends exclusive.
+are code points of the whole text, ends exclusive. Repeated rows give equal findings; empty tables give empty results. Input
+columns named like a new one are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -204,6 +205,29 @@ class Network:
         b = np.concatenate([z[:, : inside.start], z[:, inside.stop :]], axis=1)
         return cols, a, b, np.concatenate([a.max(axis=1), b.max(axis=1), a.mean(axis=1)], axis=1), inside
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean logistic loss of labelled windows, and its gradients by embed, kernel, bias, out and out_bias."""
+        cols, a, b, h, inside = self.hidden(x)
+        n, r = len(x), np.maximum(h, 0)
+        raw = r @ self.out + self.out_bias
+        p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        d = (p - y) / n
+        dh = np.outer(d, self.out) * (h > 0)
+        dz = np.zeros((n, LENGTH - WIDTH + 1, FILTERS))
+        rows, f = np.arange(n)[:, None], np.arange(FILTERS)[None, :]
+        dz[rows, a.argmax(axis=1) + inside.start, f] += dh[:, :FILTERS]
+        outside = np.concatenate([np.arange(inside.start), np.arange(inside.stop, dz.shape[1])])
+        dz[rows, outside[b.argmax(axis=1)], f] += dh[:, FILTERS : 2 * FILTERS]
+        dz[:, inside] += dh[:, None, 2 * FILTERS :] / a.shape[1]
+        dcols = (dz @ self.kernel.T).reshape(n, -1, WIDTH, DIM)
+        de = np.zeros((n, LENGTH, DIM))
+        for w in range(WIDTH):
+            de[:, w : w + dcols.shape[1]] += dcols[:, :, w]
+        demb = np.zeros_like(self.embed)
+        np.add.at(demb, x, de)
+        loss = float((np.logaddexp(0, raw) - y * raw).mean())
+        return loss, [demb, np.tensordot(cols, dz, ([0, 1], [0, 1])), dz.sum(axis=(0, 1)), r.T @ d, np.array([d.sum()])]
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = [np.maximum(self.hidden(x[s : s + 256])[3], 0) @ self.out + self.out_bias for s in range(0, len(x), 256)]
         return np.concatenate(out) if out else np.empty(0)
@@ -219,33 +243,16 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.97, epoch
     order = rng.permutation(len(findings))
     held, used = ([findings[k] for k in part] for part in (order[: len(order) // 5], order[len(order) // 5 :]))
     (x, y), seen = labelled_windows(used), labelled_windows(held)
-    used = rng.permutation(len(x))
+    used = np.arange(len(x))
     net = Network(rng.normal(0, 0.3, (CHARS, DIM)), rng.normal(0, 0.2, (WIDTH * DIM, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 3 * FILTERS), 0.0)
     par = [net.embed, net.kernel, net.bias, net.out, np.zeros(1)]
     m, v = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
     step = 0
     for _ in range(epochs):
+        used = rng.permutation(used)
         for s in range(0, len(used), 64):
-            k = rng.permutation(used)[:64] if s == 0 else used[s : s + 64]
-            xb, yb = x[k], y[k]
-            cols, a, b, h, inside = net.hidden(xb)
-            r = np.maximum(h, 0)
-            p = 1 / (1 + np.exp(-np.clip(r @ par[3] + par[4][0], -30, 30)))
-            d = (p - yb) / len(k)
-            dh = np.outer(d, par[3]) * (h > 0)
-            dz = np.zeros((len(k), LENGTH - WIDTH + 1, FILTERS))
-            rows, f = np.arange(len(k))[:, None], np.arange(FILTERS)[None, :]
-            dz[rows, a.argmax(axis=1) + inside.start, f] += dh[:, :FILTERS]
-            outside = np.concatenate([np.arange(inside.start), np.arange(inside.stop, dz.shape[1])])
-            dz[rows, outside[b.argmax(axis=1)], f] += dh[:, FILTERS : 2 * FILTERS]
-            dz[:, inside] += dh[:, None, 2 * FILTERS :] / a.shape[1]
-            dcols = (dz @ par[1].T).reshape(len(k), -1, WIDTH, DIM)
-            de = np.zeros((len(k), LENGTH, DIM))
-            for w in range(WIDTH):
-                de[:, w : w + dcols.shape[1]] += dcols[:, :, w]
-            demb = np.zeros_like(par[0])
-            np.add.at(demb, xb, de)
-            grad = [demb, np.tensordot(cols, dz, ([0, 1], [0, 1])), dz.sum(axis=(0, 1)), r.T @ d, np.array([d.sum()])]
+            k = used[s : s + 64]
+            _, grad = net.gradients(x[k], y[k])
             step += 1
             for q, g, m1, v1 in zip(par, grad, m, v, strict=True):
                 m1 += 0.1 * (g - m1)
@@ -295,23 +302,36 @@ def clear(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> lis
     return out
 
 
+def scored(texts: list[str | None], spans: list[list[tuple[int, int]]], net: Network) -> list[list[float]]:
+    """The network's score of each span of each text: the greatest over the span's windows."""
+    seen = [windows(t, a, b) for t, found in zip(texts, spans, strict=True) for a, b in found]
+    if not seen:
+        return [[] for _ in texts]
+    starts = np.cumsum([0, *map(len, seen[:-1])])
+    p = iter(np.maximum.reduceat(net.score(np.concatenate(seen)), starts).tolist())
+    return [[next(p) for _ in found] for found in spans]
+
+
 def judged(texts: list[str | None], net: Network) -> list[list[tuple[int, int, float]]]:
-    """(start, end, score) of each text's candidates beside its base findings: the greatest score over a candidate's windows."""
-    out, seen = [[] for _ in texts], []
-    for t, spans in zip(texts, out, strict=True):
-        for a, b in clear(candidates(t), base_spans(t)) if t else ():
-            spans.append((a, b))
-            seen.append(windows(t, a, b))
-    if seen:
-        starts = np.cumsum([0, *map(len, seen[:-1])])
-        p = iter(np.maximum.reduceat(net.score(np.concatenate(seen)), starts).tolist())
-    return [[(a, b, next(p)) for a, b in spans] for spans in out]
+    """(start, end, score) of each text's candidates beside its base findings."""
+    spans = [clear(candidates(t), base_spans(t)) if t else [] for t in texts]
+    return [[(a, b, p) for (a, b), p in zip(found, got, strict=True)] for found, got in zip(spans, scored(texts, spans, net), strict=True)]
 
 
-def find(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of all findings of each text, base ones and those the network adds."""
+def weighed(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int, float]]]:
+    """(start, kind, end, score) of all findings of each text: base ones, whatever their score, and those the network adds."""
+    base = [base_spans(t or "") for t in texts]
     added = judged(texts, net)
-    return [sorted(base_spans(t or "") + [(a, 3, b) for a, b, p in found if p >= net.threshold]) for t, found in zip(texts, added, strict=True)]
+    own = scored(texts, [[(a, b) for a, _, b in found] for found in base], net)
+    return [
+        sorted([(*span, p) for span, p in zip(found, ps, strict=True)] + [(a, 3, b, p) for a, b, p in new if p >= net.threshold])
+        for found, ps, new in zip(base, own, added, strict=True)
+    ]
+
+
+def find(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of all findings of each text."""
+    return [[x[:3] for x in found] for found in weighed(texts, net)]
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:
@@ -325,19 +345,21 @@ FIELDS = [
     T.StructField("n_cnn", T.LongType()),
     T.StructField("base_sha256", T.StringType()),
     T.StructField("spans", T.StringType()),
+    T.StructField("scores", T.StringType()),
 ]
 
 
 def scan(df: DataFrame, net: Network | None = None, text: str = "text") -> DataFrame:
-    """Appends counts by kind, the hash of the base spans and all spans as text."""
+    """Appends counts by kind, the hash of the base spans, all spans as text, and the network's score of each span."""
     held = df.sparkSession.sparkContext.broadcast(net or standard_network())
 
     def make():
         def run(texts):
             out = [[] for _ in FIELDS]
-            for spans in find(texts, held.value):
+            for found in weighed(texts, held.value):
+                spans = [x[:3] for x in found]
                 base = named([s for s in spans if s[1] < 3])
-                row = [sum(s[1] == k for s in spans) for k in range(4)] + [hashlib.sha256(base.encode()).hexdigest(), named(spans)]
+                row = [sum(s[1] == k for s in spans) for k in range(4)] + [hashlib.sha256(base.encode()).hexdigest(), named(spans), ",".join(f"{x[3]:.3f}" for x in found)]
                 for x, v in zip(out, row, strict=True):
                     x.append(v)
             return out

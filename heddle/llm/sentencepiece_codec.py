@@ -6,19 +6,24 @@ The agenda is kept for many chunks at once as numpy rows, so a merge of thousand
 array operations.
 
 A text is cut into chunks at places no vocabulary piece spans: a blank always starts a piece, and a
-line feed is part of none (both are read off the vocabulary; models where this does not hold, and
-texts that hold the mark itself, go to the library whole). Merges of one chunk never touch another, so
-chunks are encoded once and kept in a bounded cache. All newly encoded chunks are checked against the
-sentencepiece library in the same Arrow batch; where the two differ the library's ids hold and
-``n_corrected`` of the batch's rows counts them.
+line feed is part of none (both are read off the vocabulary; for models where this does not hold the text,
+as the library normalizes it, is one chunk). Merges of one chunk never touch another, so chunks are encoded
+once and short ones kept in a bounded cache. Long chunks have a heap of their own each.
+
+The ids are the agenda's. All newly encoded chunks are checked against the sentencepiece library in the same
+Arrow batch: a chunk where the two differ takes the library's ids, and ``n_corrected`` counts a row's such
+chunks; where more than a hundredth of a batch's new chunks differ the agenda does not fit the model, and the
+job fails.
 
 Null and empty texts encode to the end id alone. White space runs, control characters and characters
-outside the vocabulary (byte pieces) follow the library.
+outside the vocabulary (byte pieces) follow the library; the mark itself (U+2581) in a text is a blank, as
+there. Repeated rows encode alike; extra columns stay, but those named like a new one are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from functools import lru_cache
 from itertools import chain
 
@@ -35,6 +40,8 @@ CACHE = 500_000
 #: Widths to which chunks are filled up, so that few shapes occur; longer ones go in groups of their length.
 WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)
 FILL = "\uffff"
+#: Characters of the longest chunk that is kept beyond its batch.
+LONGEST = 256
 
 
 class Codec:
@@ -62,7 +69,9 @@ class Codec:
                 self.first[ord(piece)] = i
         #: Whether chunks never touch each other, and nothing but pairs and scores decides.
         plain = not any(MARK in p.lstrip(MARK) or "\n" in p for p in ids) and MARK in ids
-        self.plain = plain and not any(sp.is_unused(i) for i in range(n)) and sp.unk_id() not in self.bytes and self._unchanged()
+        if any(sp.is_unused(i) for i in range(n)) or sp.unk_id() in self.bytes:
+            raise ValueError("only merge-type vocabularies with byte pieces, of which all pieces are used")
+        self.plain = plain and self._unchanged()
         self.first[ord(" ")] = ids.get(MARK, self.unknown)
         self.first[ord(FILL)] = self.unknown
         rank = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in normal}, reverse=True))}
@@ -81,6 +90,8 @@ class Codec:
         self.text = [str(i) for i in range(n)]
         self.most = cache
         self.known: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
+        self._pairs: dict[int, tuple[int, int]] | None = None
 
     def _unchanged(self) -> bool:
         """Whether the model takes characters as they are, each blank as a mark, after one mark of its own."""
@@ -98,13 +109,15 @@ class Codec:
 
     def agenda(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk by the merges of its pairs, best score first."""
-        full = [c if c[:1] == "\n" else " " + c for c in chunks]
+        full = [c if c[:1] == "\n" else " " + c for c in chunks] if self.plain else chunks
         by_width: dict[int, list[int]] = {}
-        sizes = list(map(len, full))
-        wide = [next((w for w in WIDTHS if w >= n), n) for n in range(WIDTHS[-1] + 1)]
-        for k, n in enumerate(sizes):
-            by_width.setdefault(wide[n] if n <= WIDTHS[-1] else n, []).append(k)
         out: list = [None] * len(chunks)
+        wide = [next(w for w in WIDTHS if w >= n) for n in range(WIDTHS[-1] + 1)]
+        for k, c in enumerate(full):
+            if len(c) > WIDTHS[-1]:
+                out[k] = self._merge_long(c)
+            else:
+                by_width.setdefault(wide[len(c)], []).append(k)
         for width, which in by_width.items():
             step = max(1, 400_000 // width)
             for s in range(0, len(which), step):
@@ -113,6 +126,42 @@ class Codec:
                     out[k] = ids
         return out
 
+    def _merge_long(self, chunk: str) -> list[int]:
+        """The same agenda as a heap: each merge costs the logarithm of the chunk's length."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.keys[:-1].tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        find, base, n, none = self._pairs.get, self.unknown + 1, len(chunk), (NONE, 0)
+        start = self.first[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)]
+        ranks, made = (x.tolist() for x in self._look(start[:-1], start[1:]))  # of the pair that begins at a place
+        ranks.append(NONE)
+        made.append(0)
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r != NONE]
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        sym, right, left = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            e = pop(heap)
+            i = e & 0xFFFFFFFF
+            if ranks[i] != e >> 32:
+                continue  # one of the two symbols has changed since
+            j = right[i]
+            sym[i] = s = made[i]
+            sym[j], ranks[j] = -1, NONE
+            right[i] = after = right[j]
+            if after < n:
+                left[after] = i
+                ranks[i], made[i] = r, _ = find(s * base + sym[after], none)
+                if r != NONE:
+                    push(heap, r << 32 | i)
+            else:
+                ranks[i] = NONE
+            if (b := left[i]) >= 0:
+                ranks[b], made[b] = r, _ = find(sym[b] * base + s, none)
+                if r != NONE:
+                    push(heap, r << 32 | b)
+        unknown = self.unknown
+        return list(chain.from_iterable([s] if s != unknown else [self.bytes[b] for b in c.encode()] for s, c in zip(sym, chunk, strict=True) if s >= 0))
+
     def _merge(self, chunks: list[str], n: int) -> list[list[int]]:
         unknown, m = self.unknown, len(chunks)
         codes = np.frombuffer("".join([c.ljust(n, FILL) for c in chunks]).encode("utf-32-le"), np.uint32)
@@ -187,45 +236,66 @@ class Codec:
         out.append(held + parts[-1])
         return out
 
-    def learn(self, chunks: set[str]) -> int:
-        """Encodes chunks not yet kept and checks them against the library; the number corrected."""
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes chunks not yet kept by the agenda, and checks them against the library."""
         known = self.known
-        new = list(chunks.difference(known))
+        new = [c for c in chunks if c not in known]
         if not new:
-            return 0
+            return
         if len(known) + len(new) > self.most:
             held = {c: known[c] for c in chunks if c in known}
             known.clear()
             known.update(held)
-        got = self.agenda(new)
-        true = self.library.encode(new, num_threads=1)
-        for k, c in enumerate(new):
+            self.wrong &= held.keys()
+        got, true = self.agenda(new), self._checked(new)
+        if got != true:
+            bad = [k for k, (a, b) in enumerate(zip(got, true, strict=True)) if a != b]
+            if len(bad) > max(1, len(new) // 100):
+                raise RuntimeError(f"the agenda differs from the library in {len(bad)} of {len(new)} chunks: {new[bad[0]][:40]!r}")
+            for k in bad:
+                got[k] = true[k]
+                self.wrong.add(new[k])
+        flat = np.fromiter(chain.from_iterable(got), np.int32)
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) * 4).tolist()
+        data = flat.tobytes()
+        known.update(zip(new, (data[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+
+    def _checked(self, chunks: list[str]) -> list[list[int]]:
+        """The library's ids of chunks."""
+        true = self.library.encode(chunks, num_threads=1)
+        for k, c in enumerate(chunks):
             if c[:1] == "\n":
                 true[k] = true[k][1:]
             elif not c:
                 true[k] = self.library.encode("\n ")[2:]
-        bad = 0 if got == true else sum(a != b for a, b in zip(got, true, strict=True))
-        flat = np.fromiter(chain.from_iterable(true), np.int32)
-        ends = np.cumsum(np.fromiter(map(len, true), np.int64, len(true)) * 4).tolist()
-        data = flat.tobytes()
-        known.update(zip(new, (data[a:b] for a, b in zip([0, *ends], ends)), strict=True))
-        return bad
+        return true
 
     # ---- texts
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], int]:
-        """Ids with the end id of each text, and how many chunks the check against the library corrected."""
+    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[int]]:
+        """Ids with the end id of each text, and how many of its chunks the library corrected."""
+        texts = [(t or "").replace(MARK, " ") for t in texts]
         if not self.plain:
-            return [[*self.library.encode(t or ""), self.end] for t in texts], 0
-        cut = [self.chunks(t or "") for t in texts]
-        odd = [k for k, t in enumerate(texts) if t and (MARK in t or FILL in t)]
-        bad = self.learn(set(chain.from_iterable(cut)))
+            return self._encode_whole(texts)
+        cut = [self.chunks(t) for t in texts]
+        self.learn(set(chain.from_iterable(cut)))
         end = np.int32(self.end).tobytes()
-        get = self.known.__getitem__
+        get, wrong = self.known.__getitem__, self.wrong
         ids = [np.frombuffer(b"".join(map(get, c)) + end, np.int32).tolist() for c in cut]
-        for k in odd:
-            ids[k] = [*self.library.encode(texts[k]), self.end]
-        return ids, bad
+        counts = [sum(x in wrong for x in c) for c in cut] if wrong else [0] * len(cut)
+        for c in [c for c in self.known if len(c) > LONGEST] if any(len(t) > LONGEST for t in texts) else ():
+            del self.known[c]
+            wrong.discard(c)
+        return ids, counts
+
+    def _encode_whole(self, texts: list[str]) -> tuple[list[list[int]], list[int]]:
+        """Each text, as the library normalizes it, is one chunk."""
+        normal = [self.library.normalize(t) for t in texts]
+        got, true = self.agenda(normal), self.library.encode(texts, num_threads=1)
+        bad = [int(a != b) for a, b in zip(got, true, strict=True)]
+        if sum(bad) > max(1, len(bad) // 100):
+            raise RuntimeError(f"the agenda differs from the library in {sum(bad)} of {len(bad)} texts")
+        return [[*(b if wrong else a), self.end] for a, b, wrong in zip(got, true, bad, strict=True)], bad
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids) if ids else []
@@ -261,7 +331,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: bool = False
             back = c.decode(got)
             name = c.text.__getitem__
             sha = lambda xs: [hashlib.sha256(x.encode()).hexdigest() for x in xs]
-            out = [[len(i) for i in got], sha(" ".join(map(name, i)) for i in got), sha(back), [bad] * len(texts)]
+            out = [[len(i) for i in got], sha(" ".join(map(name, i)) for i in got), sha(back), bad]
             return out + [got] * ids + [back] * decoded
 
         return run

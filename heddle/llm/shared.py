@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that all executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in local tests, a temporary folder takes its place.
+    Where the session names none, a local master, as in tests, uses a temporary folder; a cluster has no such place, so
+    there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/heddle"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/heddle-{uuid.uuid4().hex}"
 
 
@@ -37,7 +39,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote. For tables that nothing still to be computed reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def trained_on(doc_id: Column) -> Column:

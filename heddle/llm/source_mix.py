@@ -8,9 +8,10 @@ that its target still asks for, and the few slots that a share misses by its dis
 
 Everything is DataFrame operations. Offsets in a stream are sums in two levels, over hash ranges of a source
 and within one, so a source with a third of all rows is never sorted in one task; ranks of slots in
-the same way over runs of slots. Equal rows are kept apart by their place in the stream. Null texts
-have size 0, take nothing and are returned; null sources are one source, the last. Reruns agree, as the
-order comes from hashes of doc_id (equal rows are interchangeable).
+the same way over runs of slots. Every row keeps a number of its own, so rows that repeat a doc_id, or all
+columns, are apart. Null texts have size 0, take nothing and are returned; null sources are one source, the last, and null
+doc_ids are rows like others. Reruns agree, as the order comes from hashes of doc_id, the size and the text (rows equal in these are
+interchangeable). Empty tables give empty results. Input columns may have any names; only windows over one row per source run in one task.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Words in a block, hash ranges of a source, slots in a run.
-BLOCK, RANGES, RUN = 512, 1024, 4096
+#: Words in a block, slots in a run, cells of the unit interval in which points look for their source.
+BLOCK, RUN, CELLS = 512, 4096, 4096
+#: Names beside those of the input.
+ROW, PASS, SIZE = "__mix_row", "__mix_pass", "__mix_size"
 #: The golden ratio as a multiplier modulo 2**31: odd, so all residues occur.
 GOLDEN, MODULUS = 1327217885, 1 << 31
 
@@ -52,10 +55,12 @@ def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
     total = need.agg(F.sum("words")).first()[0] or 0
     slots = -(-total // block)
     ends = need.withColumn("end", F.sum("words").over(Window.orderBy("k")) * 1.0 / F.lit(float(total or 1)))
-    bounds = ends.agg(F.sort_array(F.collect_list(F.struct("end", "k"))).alias("b"))  # one row; an entry per source
+    ends = ends.withColumn("start", F.coalesce(F.lag("end").over(Window.orderBy("k")), F.lit(0.0)))
+    cell = lambda c: F.least(F.floor(F.col(c) * CELLS), F.lit(CELLS - 1))
+    bounds = ends.select(F.explode(F.sequence(cell("start"), cell("end"))).alias("cell"), F.struct("end", "k").alias("e")).groupBy("cell").agg(F.sort_array(F.collect_list("e")).alias("b"))  # an entry per source, and one per cell
     point = F.pmod(F.pmod(F.col("id"), F.lit(MODULUS)) * F.lit(GOLDEN), F.lit(MODULUS)) / F.lit(float(MODULUS))
-    drawn = spark.range(slots).select("id", point.alias("x"), bounds.scalar().alias("b"))
-    drawn = drawn.select(F.col("id").alias("slot"), F.expr("element_at(b, least(size(b), 1 + size(filter(b, e -> e.end <= x)))).k").alias("k"), F.floor(F.col("id") / RUN).alias("run"))
+    drawn = spark.range(slots).select("id", point.alias("x")).withColumn("cell", cell("x")).join(bounds, "cell")
+    drawn = drawn.select(F.col("id").alias("slot"), F.expr("element_at(filter(b, e -> e.end > x), 1).k").alias("k"), F.floor(F.col("id") / RUN).alias("run"))
     counts = drawn.groupBy("k", "run").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("k", "run").orderBy("slot")) - 1
@@ -67,59 +72,69 @@ def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
     return every.select("slot", "k", "rank", F.least(F.lit(block), F.col("words") - F.col("rank") * block).cast("long").alias("words"))
 
 
-def streams(docs: DataFrame, doc_id: str, seed: int) -> DataFrame:
-    """Appends ``at``, the place of a document's first word in its source's shuffled stream, to rows with source and size."""
-    order = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(str(seed))))
-    rows = docs.withColumns({"_h": order, "_range": F.substring(order, 1, 3)})
-    sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_n"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.coalesce(F.sum("size").over(Window.partitionBy("source", "_range").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_in", inner)
-    cond = rows["source"].eqNullSafe(sums["source"]) & (rows["_range"] == sums["_range"])
-    return rows.join(sums, cond).select(*(rows[c] for c in docs.columns), (F.col("_before") + F.col("_in")).alias("at"))
+def streams(rows: DataFrame, seed: int) -> DataFrame:
+    """Appends ``at``, the place of a document's first word in its source's shuffled stream, to rows with doc_id, source, size and mark."""
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))))
+    ranged = rows.withColumns({"h": order, "range": F.substring(order, 1, 3)})
+    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("n"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("source", "range").orderBy("h", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = ranged.withColumn("inside", inner)
+    cond = ranged["source"].eqNullSafe(sums["source"]) & (ranged["range"] == sums["range"])
+    return ranged.join(sums, cond).select(*(ranged[c] for c in rows.columns), (F.col("before") + F.col("inside")).alias("at"))
 
 
 def size_of(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", percent: int = 150, most: int = 2, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, at, taken and passes of every row.
+def _base(docs: DataFrame, row, doc_id: str, text: str, source: str) -> DataFrame:
+    """What the plan needs of each row: its number, doc_id, source, size, and a hash of the text that orders repeated doc_ids."""
+    return docs.select(row.alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("mark"))
 
-    ``taken`` counts the words the mix takes of a document, repeats included; ``passes`` are the words taken in
-    each pass through the stream and the first word taken, as an array of structs (pass, first, words).
-    """
-    base = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size")))
+
+def _plan(base: DataFrame, percent: int = 150, most: int = 2, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """Rows of ``base`` (a written table) with source_size, target, at, taken and passes."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = materialize(targets(sizes, percent, most))
-    rows = streams(base, "doc_id", seed)
-    small = F.broadcast(shares)  # one row per source; checked below
-    named = rows.join(small if shares.count() <= 100_000 else shares, rows["source"].eqNullSafe(shares["source"])).select(rows["doc_id"], rows["source"], "k", "size", "source_size", "target", "at")
+    rows = streams(base, seed)
+    named = rows.join(shares, rows["source"].eqNullSafe(shares["source"])).select(*(rows[c] for c in rows.columns if c != "mark"), "k", "source_size", "target")
     named = materialize(named)
     spans = named.filter("size > 0").withColumn("pass", F.explode(F.expr(f"sequence(0, {most - 1})"))).withColumn("start", F.col("pass") * F.col("source_size") + F.col("at")).filter("start < target")
-    parts = spans.withColumn("rank", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
+    parts = spans.select("row", "k", "size", "pass", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("rank"))
     taken = parts.join(schedule(shares, block), ["k", "rank"])
     first, last = F.greatest("start", F.col("rank") * block), F.least(F.col("start") + F.col("size"), F.col("rank") * block + F.col("words"))
     got = taken.withColumns({"first": first - F.col("start"), "n": last - first}).filter("n > 0")
-    per_pass = got.groupBy("doc_id", "k", "at", "size", "pass").agg(F.sum("n").alias("words"), F.min("first").alias("first"))
-    per_row = per_pass.groupBy("doc_id", "k", "at", "size").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("pass", "first", "words"))).alias("passes"))
-    r = per_row.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("at").alias("_at"), F.col("size").alias("_size"), "taken", "passes")
-    on = named["doc_id"].eqNullSafe(r["_d"]) & (named["k"] == r["_k"]) & (named["at"] == r["_at"]) & (named["size"] == r["_size"])
-    return named.join(r, on, "left").select("doc_id", "source", "size", "source_size", "target", "at", F.coalesce("taken", F.lit(0)).alias("taken"), "passes")
+    per_pass = got.groupBy("row", "pass").agg(F.sum("n").alias("words"), F.min("first").alias("first"), F.min_by("slot", "first").alias("slot"))
+    per_row = per_pass.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("pass", "first", "words", "slot"))).alias("passes"))
+    return named.join(per_row, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, at, taken and passes of every row.
+
+    ``taken`` counts the words the mix takes of a document, repeats included; ``passes`` has a struct for each pass through
+    the stream that takes some: pass, the first word taken, how many, and the slot of the mix that takes the first.
+    Options: percent, most, block, seed.
+    """
+    base = materialize(_base(docs, F.monotonically_increasing_id(), doc_id, text, source))
+    return _plan(base, **options).select("doc_id", "source", "size", "source_size", "target", "at", "taken", "passes")
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix as documents: a row for each pass that takes words of a document, with all columns of ``docs``.
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", order: str | None = None, **options) -> DataFrame:
+    """The mix as documents: a row for each pass that takes words of a row of ``docs``, with all its columns.
 
     A document of which a pass takes only a part (at the end of a source's target) is cut to those words, one
-    blank between them. Rows are matched by doc_id; rows that repeat a doc_id come once for each such row
-    that is taken.
+    blank between them. ``docs`` is written once with a number for each row, by which rows and plan are matched. ``order``
+    names a further column with the slot of the row's first word: sorted by it, any long stretch of the mix is near the weights.
     """
-    plan = mix(docs, doc_id, text, source, **options).filter("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_size"), F.col("source").alias("_s"), F.explode("passes").alias("_p")).groupBy("_d", "_size", "_s", "_p").agg(F.lit(1))
-    on = docs[doc_id].eqNullSafe(plan["_d"]) & docs[source].eqNullSafe(plan["_s"])
-    words = F.slice(F.regexp_extract_all(docs[text], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), (F.col("_p.first") + 1).cast("int"), F.col("_p.words").cast("int"))
-    cut = F.when(F.col("_p.words") == F.col("_size"), docs[text]).otherwise(F.array_join(words, " "))
-    return docs.join(plan, on).select(*(cut.alias(c) if c == text else docs[c] for c in docs.columns))
+    whole = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    base = materialize(_base(whole, F.col(ROW), doc_id, text, source))
+    plan = _plan(base, **options).filter("taken > 0").select(F.col("row").alias(ROW), F.explode("passes").alias(PASS), F.col("size").alias(SIZE))
+    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), (F.col(f"{PASS}.first") + 1).cast("int"), F.col(f"{PASS}.words").cast("int"))
+    cut = F.when(F.col(f"{PASS}.words") == F.col(SIZE), F.col(text)).otherwise(F.array_join(words, " "))
+    slot = [F.col(f"{PASS}.slot").alias(order)] if order else []
+    return whole.join(plan, ROW).select(*(cut.alias(c) if c == text else F.col(c) for c in docs.columns if c != order), *slot)
 
 
 ORACLE = r"""
