@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .shared import append, pieces, spread, trained_on
 
 #: Hashed terms of byte runs and of words, each a power of two, and those for repetition.
-BITS = 11
+BITS = 10
 RUNS, WORDS, REPEATS = 1 << BITS, 1 << BITS, 4
 TERMS = RUNS + WORDS + REPEATS
 #: Labelled texts to learn from, for each label: a bound of the fit, whatever the input.
@@ -77,8 +77,7 @@ class Model:
 
     def embed(self, x: np.ndarray) -> np.ndarray:
         """Unit vectors of latent dimensions; zeros for a text without terms."""
-        v = (x * self.weights) @ self.axes
-        return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        return unit((x * self.weights) @ self.axes)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -99,14 +98,18 @@ def fit(x: np.ndarray, labels: np.ndarray, rank: int = RANK, k: int = NEIGHBOURS
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior, k)
     weights = np.maximum(np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))), 0.05).astype(np.float32)
     weights[RUNS + WORDS :] = 1
-    model = Model(weights, leading(x * weights, rank), np.zeros((0, 1)), labels.astype(np.float64), prior, k)
-    model.vectors = model.embed(x)
-    return model
+    x = x * weights  # one further copy of the bounded sample, in single precision
+    axes = leading(x, rank)
+    return Model(weights, axes, unit(x @ axes), labels.astype(np.float64), prior, k)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def leading(z: np.ndarray, rank: int, steps: int = 4, seed: int = 0) -> np.ndarray:
     """The leading right singular vectors of z as columns, by subspace iteration from a fixed start."""
-    q = np.random.default_rng(seed).normal(size=(z.shape[1], min(rank + 16, *z.shape)))
+    q = np.random.default_rng(seed).normal(size=(z.shape[1], min(rank + 16, *z.shape))).astype(np.float32)
     for _ in range(steps):
         q = np.linalg.qr(z.T @ (z @ q))[0]
     return (q @ np.linalg.svd(z @ q, full_matrices=False)[2].T)[:, :rank].astype(np.float32)
@@ -126,18 +129,20 @@ def _sparse(batches):
         for part in pieces(batch, 256, "text"):
             x = [terms(t) for t in part.column("text").to_pylist()]
             at = [np.flatnonzero(v).astype(np.uint16) for v in x]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary())], names=["doc_id", "y", "at", "weight"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].astype(np.float16).tobytes() for v, a in zip(x, at, strict=True)], pa.binary())], names=["doc_id", "y", "at", "weight"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Model:
     """Terms are counted on the executors; only those of the bounded sample come to the driver, as sparse vectors."""
     rows = sample(docs, labels, per_label).select("doc_id", "text", "y")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(_sparse, f"doc_id {kind}, y double, at binary, weight binary").orderBy("doc_id").collect()  # 2 * per_label rows
-    x = np.zeros((len(rows), TERMS), np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.weight, np.float32)
-    return fit(x, np.array([r.y for r in rows], float))
+    rows = rows.mapInArrow(_sparse, f"doc_id {kind}, y double, at binary, weight binary").toArrow().sort_by("doc_id")  # 2 * per_label rows
+    x = np.zeros((rows.num_rows, TERMS), np.float32)
+    for k, (at, weight) in enumerate(zip(rows["at"], rows["weight"], strict=True)):
+        x[k, np.frombuffer(at.as_buffer(), np.uint16)] = np.frombuffer(weight.as_buffer(), np.float16)
+    y = rows["y"].to_numpy().astype(float)
+    del rows
+    return fit(x, y)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
