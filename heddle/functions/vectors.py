@@ -58,6 +58,14 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return place.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def with_small(df: DataFrame, small: DataFrame, key: str, most: int = 100_000, salts: int = 64) -> DataFrame:
+    """``df`` joined with a table that has a row per ``key``: broadcast up to ``most`` rows, beyond it dealt by key and a salt, so a frequent key is many tasks."""
+    if small.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(small), key)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A column of equally long lists as a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,17 +78,29 @@ def compared(df: DataFrame, key: str, vector: str, kernel: Callable, schema: str
     """``kernel(keys, X, other_keys, Y)`` over all pairs of blocks of rows; it yields a table of ``schema``.
 
     Blocks of about ``rows`` rows are dealt to a grid of tasks, so no task or driver holds all vectors. With ``right``
-    the rows of ``df`` are compared with those of another table with the same columns.
+    the rows of ``df`` are compared with those of another table with the same columns. Rows without a vector are left out.
+    Keys may be of any type; ``{key}`` in the schema stands for it.
     """
-    other = df if right is None else right
+    kind = df.schema[key].dataType.simpleString()
+    kind = "long" if kind in ("int", "smallint", "tinyint", "bigint") else kind
+    df = df.filter(F.col(vector).isNotNull())
+    other = df if right is None else right.filter(F.col(vector).isNotNull())
     n, m = (max(1, -(-d.count() // rows)) for d in (df, other))
-    block = lambda d, k: d.select(F.col(key).cast("long").alias("_key"), F.col(vector).alias("_x"), F.pmod(F.xxhash64(key), F.lit(k)).cast("int").alias("_b"))
+    block = lambda d, k: d.select(F.col(key).cast(kind).alias("_key"), F.col(vector).alias("_x"), F.pmod(F.xxhash64(key, vector), F.lit(k)).cast("int").alias("_b"))
     a = block(df, n).select(F.lit(0).alias("_side"), "_key", "_x", F.col("_b").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"))
     b = block(other, m).select(F.lit(1).alias("_side"), "_key", "_x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"), F.col("_b").alias("_j"))
 
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = schema.replace("{key}", kind)
+    empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
+
     def run(t: pa.Table) -> pa.Table:
         side = t.column("_side").to_numpy()
         parts = [t.filter(pa.array(side == s)) for s in (0, 1)]
+        if not all(p.num_rows for p in parts):
+            return empty
         args = [x for p in parts for x in (p.column("_key").to_numpy(), matrix(p.column("_x")))]
         return kernel(*args)
 

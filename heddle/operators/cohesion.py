@@ -14,10 +14,10 @@ from ..functions import vectors
 
 def weights(df: DataFrame, class_id: str = "sem_id", vector: str = "embedding", power: float = 1.0) -> DataFrame:
     """Appends ``w``: exp(-distance to the class centroid), of sum 1 in each class."""
-    c = F.broadcast(vectors.centroids(df, class_id, vector))  # a row per class
-    rows = df.join(c, class_id).withColumn("_e", F.exp(-F.pow(vectors.euclidean(F.col(vector), F.col("centroid")), F.lit(power)))).drop("centroid")
+    c = vectors.centroids(df, class_id, vector)  # a row per class
+    rows = vectors.with_small(df, c, class_id).withColumn("_e", F.exp(-F.pow(vectors.euclidean(F.col(vector), F.col("centroid")), F.lit(power)))).drop("centroid")
     total = rows.groupBy(class_id).agg(F.sum("_e").alias("_t"))
-    return rows.join(F.broadcast(total), class_id).withColumn("w", F.col("_e") / F.col("_t")).drop("_e", "_t")
+    return vectors.with_small(rows, total, class_id).withColumn("w", F.col("_e") / F.col("_t")).drop("_e", "_t")
 
 
 def class_report(df: DataFrame, class_id: str = "sem_id", vector: str = "embedding", ln_p: str = "ln_p", size_factor: bool = True, power: float = 1.0) -> DataFrame:

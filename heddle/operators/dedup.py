@@ -21,15 +21,16 @@ PRIME = (1 << 61) - 1
 
 
 def exact(df: DataFrame, text: str, order: list[str], key: str) -> tuple[DataFrame, DataFrame]:
-    """Kept rows, and removed rows with ``matched_id``: of equal texts the first in ``order`` stays.
+    """Kept rows, and removed rows with ``matched_id``: of equal texts one row stays, the first by ``order``, then the key.
 
-    Only hashes and order columns are shuffled; first rows are found by a map-side minimum, so a text with
-    very many copies is no hot task.
+    Rows are written once with a number each, so rows with a null key, or with the same key, are rows like others. Hashes,
+    keys and order columns alone are compared; first rows are found by a map-side minimum, and whole rows then meet
+    the numbers of those that go, so a text with very many copies is no hot task. A null text counts as empty.
     """
-    h = df.withColumn("_h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    first = h.groupBy("_h").agg(F.min(F.struct(*order, F.col(key).alias("_k"))).alias("_f")).select("_h", F.col("_f._k").alias("matched_id"))
-    both = h.join(first, "_h").drop("_h")
-    return both.filter(F.col(key) == F.col("matched_id")).drop("matched_id"), both.filter(F.col(key) != F.col("matched_id"))
+    whole = materialize(df.withColumns({"_row": F.monotonically_increasing_id(), "_h": F.sha2(F.coalesce(F.col(text), F.lit("")), 256)}))
+    first = whole.groupBy("_h").agg(F.min(F.struct(*order, F.col(key).alias("_k"), "_row")).alias("_f"), F.count("*").alias("_n")).filter("_n > 1").select("_h", "_f._k", F.col("_f._row").alias("_first"))
+    gone = materialize(whole.select("_h", "_row").join(first, "_h").filter("_row <> _first").select("_row", F.col("_k").alias("matched_id")))
+    return whole.join(gone, "_row", "left_anti").select(*df.columns), whole.join(gone, "_row").select(*df.columns, "matched_id")
 
 
 def without_contamination(df: DataFrame, text: str, other: DataFrame, other_text: str) -> DataFrame:

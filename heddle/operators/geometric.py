@@ -16,7 +16,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def gram(df: DataFrame, vector: str, unit: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """X'X (d by d), the sum of the rows and their number: partial sums per task, added up in Spark."""
+    """X'X (d by d), the sum of the rows and their number: partial sums per task, added up in Spark. Rows without a vector are left out; without rows all are 0."""
 
     def run(batches):
         g = s = None
@@ -31,7 +31,9 @@ def gram(df: DataFrame, vector: str, unit: bool = True) -> tuple[np.ndarray, np.
             flat = np.concatenate([g.ravel(), s, [n]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d + d + 1)), pa.array(flat)], names=["i", "v"])
 
-    parts = df.select(vector).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # d * d + d + 1 rows
+    parts = df.select(vector).filter(F.col(vector).isNotNull()).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # d * d + d + 1 rows
+    if not parts:
+        return np.zeros((0, 0)), np.zeros(0), 0
     v = np.array([r.v for r in parts])
     d = int((np.sqrt(4 * len(v) - 3) - 1) / 2)
     return v[: d * d].reshape(d, d), v[d * d : -1], int(v[-1])
@@ -51,7 +53,7 @@ def distsum_l2(df: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
         sq = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
         return pa.table({"s": [float(np.sqrt(np.maximum(sq, 0)).sum())]})
 
-    n = df.count()
+    n = df.filter(F.col(vector).isNotNull()).count()
     return vectors.compared(df, key, vector, kernel, "s double").agg(F.sum("s").alias("distsum"), (F.sum("s") / F.lit(max(1, n * (n - 1)))).alias("distavg"))
 
 
@@ -65,11 +67,16 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
             far = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
         far = np.where(ka[:, None] == kb[None, :], np.inf, far)
         m = min(k, far.shape[1])
-        cut = np.partition(far, m - 1, axis=1)[:, m - 1 : m]
-        i, j = np.nonzero((far <= cut) & np.isfinite(far))
+        order = np.argsort(kb, kind="stable")
+        far, kb = far[:, order], kb[order]
+        near = (far <= np.partition(far, m - 1, axis=1)[:, m - 1 : m]) & np.isfinite(far)
+        for r in np.flatnonzero(near.sum(axis=1) > m):  # of ties at the last place the least keys, so copies give no more rows than others
+            near[r] = False
+            near[r, np.argsort(far[r], kind="stable")[:m]] = True
+        i, j = np.nonzero(near & np.isfinite(far))
         return pa.table({"key": ka[i], "other": kb[j], "distance": far[i, j]})
 
-    found = vectors.compared(df, key, vector, kernel, "key long, other long, distance double", right=right)
+    found = vectors.compared(df, key, vector, kernel, "key {key}, other {key}, distance double", right=right)
     order = F.row_number().over(Window.partitionBy("key").orderBy("distance", "other"))
     return found.withColumn("rank", order).filter(F.col("rank") <= k).withColumnRenamed("key", key)
 
@@ -82,8 +89,7 @@ def radius(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def inertia(df: DataFrame, class_id: str, vector: str = "embedding") -> DataFrame:
     """Summed squared distance to the class centroids."""
-    c = F.broadcast(vectors.centroids(df, class_id, vector))
-    return df.join(c, class_id).agg(F.sum(F.pow(vectors.euclidean(F.col(vector), F.col("centroid")), F.lit(2.0))).alias("inertia"))
+    return vectors.with_small(df, vectors.centroids(df, class_id, vector), class_id).agg(F.sum(F.pow(vectors.euclidean(F.col(vector), F.col("centroid")), F.lit(2.0))).alias("inertia"))
 
 
 def density(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, power: float = 0.5, eps: float = 1e-9) -> DataFrame:
@@ -99,7 +105,7 @@ def novelsum(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: i
     rows against all: the rows of one block come to it block by block of the others, and are sorted there.
     """
     rho = density(df, key, vector, k, density_power)
-    per = vectors.compared(df, key, vector, _distances, "key long, distances array<double>", rows=512)
+    per = vectors.compared(df, key, vector, _distances, "key {key}, distances array<double>", rows=512)
     weighted = per.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("distances"))).alias("d"))
     w = lambda i: 1 / F.pow(F.lit(1.0) + i, F.lit(power))
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -117,6 +123,8 @@ def logdet(df: DataFrame, vector: str = "embedding", ridge: float = 1e-6) -> flo
     """log det of the m by m similarity matrix of unit rows plus a ridge, by way of the d by d Gram matrix."""
     g, _, m = gram(df, vector)
     d = len(g)
+    if not m:
+        return 0.0
     return float((m - d) * np.log(ridge) + np.linalg.slogdet(ridge * np.eye(d) + g)[1])
 
 
@@ -126,5 +134,5 @@ def coverage(df: DataFrame, chosen: DataFrame, key: str = "vec_id", vector: str
     def kernel(ka, x, _, y):
         return pa.table({"key": ka, "best": (_unit(x) @ _unit(y).T).max(axis=1)})
 
-    best = vectors.compared(df, key, vector, kernel, "key long, best double", right=chosen).groupBy("key").agg(F.max("best").alias("best"))
+    best = vectors.compared(df, key, vector, kernel, "key {key}, best double", right=chosen).groupBy("key").agg(F.max("best").alias("best"))
     return best.agg(F.sum("best").alias("coverage"), F.avg("best").alias("mean_coverage"))

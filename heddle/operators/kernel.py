@@ -35,13 +35,13 @@ def vendi_of(samples: list, kernel, q: float = 1.0) -> float:
 def vendi_dual(df: DataFrame, vector: str = "embedding", q: float = 1.0) -> float:
     """The cosine Vendi score from the d by d Gram matrix: its eigenvalues are those of the n by n kernel."""
     g, _, n = geometric.gram(df, vector)
-    return float(np.exp(renyi(np.linalg.eigvalsh(g / n), q)))
+    return float(np.exp(renyi(np.linalg.eigvalsh(g / n), q))) if n else 0.0
 
 
 def internal_diversity(df: DataFrame, vector: str = "embedding") -> float:
     """1 - the mean cosine of all pairs = 1 - |mean unit vector|^2."""
     _, s, n = geometric.gram(df, vector)
-    return 1 - float(s @ s) / (n * n)
+    return 1 - float(s @ s) / (n * n) if n else 0.0
 
 
 def histogram(df: DataFrame, key: str) -> DataFrame:

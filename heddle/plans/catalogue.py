@@ -207,9 +207,12 @@ def language_distribution(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("SELECT doc_id, md5(trim(text)) AS text_md5 FROM documents")
+@query("""SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(text, chr(64257), 'fi'), chr(178), '2'), chr(12288), ' '), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), ' ' || chr(9) || chr(10) || chr(160))) AS text_md5 FROM documents""")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.clean(F.col("text"))).alias("text_md5"))
+    """Of texts with compatibility characters, line ends of three kinds, control characters and white space put in; cleaning undoes them."""
+    lines = F.regexp_replace("text", "\n", "\r\n")
+    messy = F.concat(F.lit(" \u00a0\t\x07\r"), F.regexp_replace(lines, "([aeiou])", "$1\x01"), F.lit("\x7f\x0b\u3000\n"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.clean(F.when(F.col("text").isNotNull(), messy))).alias("text_md5"))
 
 
 FIRSTS = "f AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY coalesce(text, '') ORDER BY source, doc_id) AS matched_id FROM documents)"
@@ -250,10 +253,19 @@ def minhash_keep_first(spark, d):
     return dedup.near(table(spark, d, "documents"), "doc_id", "text", ["source"])
 
 
-@query()
+QUOTA = """
+c AS (SELECT source, count(*) AS n, least(count(*), 2) AS base FROM documents GROUP BY 1),
+t AS (SELECT *, n - base AS spare, sqrt(n - base) AS width, (SELECT sum(n) // 2 - sum(least(n, 2)) FROM c) AS water FROM c),
+o AS (SELECT *, (water - coalesce(sum(spare) OVER (ORDER BY spare, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(width) OVER (ORDER BY spare, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
+l AS (SELECT *, (SELECT level FROM o WHERE level <= width ORDER BY spare, source LIMIT 1) AS lv FROM o),
+s AS (SELECT *, least(spare, lv * width) AS share, floor(least(spare, lv * width) + 1e-9) AS whole FROM l),
+r AS (SELECT *, row_number() OVER (ORDER BY base + whole < n DESC, round(whole - share, 9), source) AS place, water - sum(whole) OVER () AS single FROM s)"""
+
+
+@query(f"WITH {QUOTA} SELECT source, (base + whole + CASE WHEN base + whole < n AND place <= single THEN 1 ELSE 0 END)::BIGINT AS quota FROM r")
 def source_quota(spark, d):
-    counts = {r.source: r.n for r in source_counts(spark, d).collect()}
-    return spark.createDataFrame(sorted(sampling.source_quotas(counts, sum(counts.values()) // 2, base=2).items()), "source string, quota long")
+    counts = {r.source: r.n for r in source_counts(spark, d).collect()}  # a row per source
+    return spark.createDataFrame(list(sampling.source_quotas(counts, sum(counts.values()) // 2, base=2).items()), "source string, quota long")
 
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) <= 10")
@@ -267,38 +279,42 @@ def hash_topk_sample(spark, d):
     return sampling.hash_sample(table(spark, d, "documents"), 100, "doc_id", 7).select("doc_id")
 
 
-def grouped(spark: SparkSession, d: str, disjoint: bool) -> DataFrame:
-    docs = sampling.placed(table(spark, d, "documents").select("doc_id"), ["doc_id"])
-    return sampling.chosen(spark, docs, sampling.random_groups(docs.count(), 3, 50, 123, disjoint=disjoint)).select("group_id", "rank", "doc_id")
+def _groups(disjoint: bool) -> str:
+    """SQL of three groups of 50 documents by hash order."""
+    ranked = lambda g: f"SELECT row_number() OVER (ORDER BY md5('{123 + g}:' || doc_id), doc_id) - 1 AS p, doc_id FROM documents"
+    if disjoint:
+        return f"SELECT (p // 50)::INT AS group_id, (p % 50)::INT AS rank, doc_id FROM ({ranked(0)}) WHERE p < 150"
+    return " UNION ALL ".join(f"SELECT {g} AS group_id, p::INT AS rank, doc_id FROM ({ranked(g)}) WHERE p < 50" for g in range(3))
 
 
-@query()
+@query(_groups(False))
 def random_groups(spark, d):
-    return grouped(spark, d, False)
+    return sampling.hash_groups(table(spark, d, "documents"), 3, 50, "doc_id", 123)
 
 
-@query()
+@query(_groups(True))
 def disjoint_groups(spark, d):
-    return grouped(spark, d, True)
+    return sampling.hash_groups(table(spark, d, "documents"), 3, 50, "doc_id", 123, disjoint=True)
 
 
-@query()
+@query(f"WITH g AS ({_groups(False)}) SELECT a.group_id AS g1, b.group_id AS g2, count(*)::BIGINT AS shared FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.group_id < b.group_id GROUP BY 1, 2")
 def group_overlaps(spark, d):
-    return sampling.overlaps(grouped(spark, d, False), "doc_id")
+    return sampling.overlaps(random_groups(spark, d), "doc_id")
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE coalesce(text, '') NOT IN (SELECT coalesce(text, '') FROM benchmark) ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def reservoir_validation(spark, d):
-    rows = dedup.without_contamination(table(spark, d, "documents"), "text", table(spark, d, "benchmark"), "text").select("doc_id")
-    rows = sampling.placed(rows, ["doc_id"])
-    return sampling.chosen(spark, rows, [sampling.reservoir(rows.count(), 100, 42)]).select("rank", "doc_id")
+    """A fixed number of rows without replacement among those that are not in the benchmark."""
+    rows = dedup.without_contamination(table(spark, d, "documents"), "text", table(spark, d, "benchmark"), "text")
+    return sampling.hash_sample(rows, 100, "doc_id", 42).select("doc_id")
 
 
-@query("SELECT d.doc_id, round(l.quality * ln(1 + d.n_chars), 6) AS score FROM documents d JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, row_number() OVER (ORDER BY round(l.quality * ln(1 + d.n_chars), 6) DESC, d.doc_id) AS rank, round(l.quality * ln(1 + d.n_chars), 6) AS score FROM documents d JOIN labels l USING (doc_id)")
 def score_first_rank(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     scored = rows.select("doc_id", F.array(F.col("quality").cast("double")).alias("q"), F.array(F.log1p(F.col("n_chars").cast("double"))).alias("c"))
-    return rounded(scored.select("doc_id", selection.final_score("q", "c").alias("score")))
+    ranked = sampling.placed(rounded(scored.select("doc_id", selection.final_score("q", "c").alias("score"))).withColumn("down", -F.col("score")), ["down", "doc_id"], "place")
+    return ranked.select("doc_id", (F.col("place") + 1).alias("rank"), "score")
 
 
 # ---- lexical metrics
@@ -344,7 +360,14 @@ def ngram_diversity(spark, d):
     return rounded(lexical.ngram_diversity(*words(spark, d)))
 
 
-@query()
+WORD_COUNTS = r"""
+w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY ALL), n AS (SELECT doc_id, sum(c)::BIGINT AS n FROM c GROUP BY 1)"""
+
+
+@query(f"""WITH {WORD_COUNTS}, m AS (SELECT doc_id, w, n, product(greatest(n - c - i, 0) / (n - i)) AS miss FROM c JOIN n USING (doc_id), range(30) AS r(i) WHERE n > 30 GROUP BY ALL),
+t AS (SELECT doc_id, sum(1 - miss) / 30 AS ttr FROM m GROUP BY 1 UNION ALL SELECT doc_id, count(*) / any_value(n) FROM c JOIN n USING (doc_id) WHERE n <= 30 GROUP BY 1)
+SELECT doc_id, round(ttr, 6) AS ttr FROM documents LEFT JOIN t USING (doc_id)""")
 def expected_ttr(spark, d):
     return rounded(lexical.expected_ttr(*words(spark, d), "doc_id"))
 
@@ -428,13 +451,27 @@ def logdet_distance(spark, d):
     return row(spark, logdet=round(geometric.logdet(table(spark, d, "embeddings")), 4))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT 0 AS rank, vec_id, v, 'infinity'::DOUBLE AS far, (SELECT min(vec_id) FROM e) AS pick FROM e UNION ALL
+  SELECT rank + 1, vec_id, v, far, first_value(vec_id) OVER (ORDER BY gone, far DESC, vec_id) FROM (
+    SELECT s.rank, s.vec_id, s.v, CASE WHEN s.vec_id = s.pick THEN -1 ELSE least(s.far, list_distance(s.v, p.v)) END AS far, s.far < 0 OR s.vec_id = s.pick AS gone FROM s JOIN e p ON p.vec_id = s.pick WHERE s.rank < 9))
+SELECT DISTINCT rank::INT AS rank, pick AS vec_id FROM s""")
 def k_center(spark, d):
     picked = selection.k_center(table(spark, d, "embeddings"), 10)
     return spark.createDataFrame(list(enumerate(picked)), "rank int, vec_id long")
 
 
-@query()
+@query("""
+WITH RECURSIVE u AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, greatest(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0) AS c FROM embeddings a, embeddings b),
+n AS (SELECT count(*) AS n FROM embeddings),
+s AS (SELECT 0 AS step, vec_id, 0.0::DOUBLE AS best, [-1]::BIGINT[] AS picked FROM embeddings UNION ALL
+  SELECT step + 1, s.vec_id, greatest(s.best, u.c), list_append(s.picked, p.pick) FROM s, u,
+    (SELECT b AS pick FROM (SELECT u.b, round(sum(greatest(u.c - s.best, 0)), 9) AS gain FROM s JOIN u ON u.a = s.vec_id WHERE NOT list_contains(s.picked, u.b) GROUP BY u.b) ORDER BY gain DESC, b LIMIT 1) p
+  WHERE u.a = s.vec_id AND u.b = p.pick AND s.step < greatest(1, (SELECT n // 10 FROM n))),
+f AS (SELECT vec_id, picked FROM s WHERE step = (SELECT max(step) FROM s)),
+g AS (SELECT a.vec_id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS best FROM embeddings a, embeddings b WHERE list_contains((SELECT picked FROM f LIMIT 1), b.vec_id) GROUP BY 1)
+SELECT round(sum(best), 6) AS coverage, round(avg(best), 6) AS mean_coverage FROM g""")
 def facility_location(spark, d):
     """Lazy greedy over all rows, a tenth of them; scored against all rows."""
     e = table(spark, d, "embeddings")
@@ -443,13 +480,27 @@ def facility_location(spark, d):
     return rounded(geometric.coverage(e, chosen))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY -vec_id % 97, vec_id) AS i FROM embeddings),
+x AS MATERIALIZED (SELECT b.i, list(a.vec_id) AS close FROM o a JOIN o b ON a.i < b.i AND list_cosine_similarity(a.v, b.v) > 0.3 GROUP BY b.i),
+y AS MATERIALIZED (SELECT o.i, o.vec_id, coalesce(x.close, []) AS close FROM o LEFT JOIN x USING (i)),
+s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT y.i, CASE WHEN list_has_any(s.kept, y.close) OR len(s.kept) = 100 THEN s.kept ELSE list_append(s.kept, y.vec_id) END FROM s JOIN y ON y.i = s.i + 1)
+SELECT unnest(range(len(kept)))::BIGINT AS rank, unnest(kept) AS vec_id FROM s WHERE i = (SELECT max(i) FROM s)""")
 def redundancy_filter(spark, d):
     e = table(spark, d, "embeddings").withColumn("neg", -F.col("vec_id") % 97)
     return selection.redundancy_filter(e, "vec_id", "embedding", ["neg"], 0.3, 100)
 
 
-@query()
+@query("""
+WITH h AS (SELECT label, count(*) FILTER (WHERE vec_id % 2 = 0) AS a, count(*) FILTER (WHERE vec_id % 2 = 1) AS b FROM embeddings GROUP BY 1),
+s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM h),
+w AS (SELECT 1e-6 + i * (1 - 2e-6) / 24.0::DOUBLE AS w FROM range(25) AS r(i)),
+k AS (SELECT w, sum(CASE WHEN q > 0 THEN q * ln(q / (w * p + (1 - w) * q)) ELSE 0 END) AS kq, sum(CASE WHEN p > 0 THEN p * ln(p / (w * p + (1 - w) * q)) ELSE 0 END) AS kp FROM s, w GROUP BY w),
+c AS (SELECT exp(-5 * kq) AS x, exp(-5 * kp) AS y FROM k UNION ALL VALUES (1.0::DOUBLE, 0.0::DOUBLE), (0.0::DOUBLE, 1.0::DOUBLE)),
+a AS (SELECT sum((x - px) * (y + py) / 2) AS area FROM (SELECT x, y, lag(x) OVER (ORDER BY x, y DESC) AS px, lag(y) OVER (ORDER BY x, y DESC) AS py FROM c)),
+b AS (SELECT sum((y - py) * (x + px) / 2) AS area FROM (SELECT x, y, lag(x) OVER (ORDER BY y, x DESC) AS px, lag(y) OVER (ORDER BY y, x DESC) AS py FROM c))
+SELECT round(0.5 * (a.area + b.area), 6) AS mauve FROM a, b""")
 def mauve_divergence(spark, d):
     """Of the class histograms of vectors with even and odd ids."""
     e = table(spark, d, "embeddings").groupBy("label", (F.col("vec_id") % 2).alias("half")).agg(F.count("*").alias("n")).collect()
@@ -477,6 +528,11 @@ def kmeans_inertia(spark, d):
     return row(spark, inertia=round(best, 4))
 
 
+@query(f"WITH {PAIRS} SELECT round((SELECT count(*) FROM e) ** 2 / sum(list_cosine_similarity(va, vb) ** 2), 5) AS vendi FROM p")
+def vendi_order_two(spark, d):
+    return row(spark, vendi=round(kernel.vendi_dual(table(spark, d, "embeddings"), q=2.0), 5))
+
+
 @query("SELECT label, count(*)::BIGINT AS n, sum(count(*)) OVER (ORDER BY label)::BIGINT AS running FROM embeddings GROUP BY 1")
 def running_class_counts(spark, d):
     n = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))

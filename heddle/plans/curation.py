@@ -225,7 +225,16 @@ def ngram_vendi(spark, d):
     return row(spark, ngram_vendi=round(kernel.ngram_vendi(rows), 6))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c, list_distance(a.v, b.v) ** 2 AS s FROM e a, e b),
+r AS MATERIALIZED (SELECT a, 1 / sqrt(avg(s) + 1e-9::DOUBLE) AS rho FROM (SELECT a, s, row_number() OVER (PARTITION BY a ORDER BY s, b) AS k FROM p WHERE a <> b) WHERE k <= 10 GROUP BY 1),
+f AS MATERIALIZED (SELECT p.a, p.b, (1 - p.c) * (x.rho + y.rho) AS d FROM p JOIN r x ON x.a = p.a JOIN r y ON y.a = p.b),
+s AS (SELECT 1 AS n, [min(vec_id)] AS picked FROM e UNION ALL
+  SELECT n + 1, list_append(picked, pick) FROM s, (
+    SELECT a AS pick FROM (SELECT a, round(avg(d / k), 12) AS gain FROM (SELECT f.a, f.d, row_number() OVER (PARTITION BY f.a ORDER BY f.d) AS k FROM f, s WHERE list_contains(s.picked, f.b) AND NOT list_contains(s.picked, f.a)) GROUP BY a) ORDER BY gain DESC, a LIMIT 1)
+  WHERE n < 4)
+SELECT unnest(range(4))::INT AS rank, unnest(picked) AS doc_id FROM s WHERE n = 4""")
 def novelty_selection(spark, d):
     """Four of all rows by greedy novelty, with densities of ten neighbours."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

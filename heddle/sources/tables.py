@@ -16,11 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder where the session names none."""
+    """A new path below ``spark.checkpoint.dir``. Where the session names none a local master uses a temporary folder; a cluster has no such place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/heddle"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/heddle-{uuid.uuid4().hex}"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import messages as M
 from heddle.functions import text as X
+from heddle.functions import vectors as V
 from heddle.operators import dedup, geometric, kernel, lexical, sampling, selection
 from heddle.plans import catalogue, pool
 from heddle.sources import adapters, extract
@@ -60,12 +61,62 @@ def test_quota_errors():
 
 
 def test_groups():
-    groups = sampling.random_groups(100, 3, 10, 123)
-    assert groups[1] == random.Random(124).sample(range(100), 10)
-    flat = [x for g in sampling.random_groups(100, 3, 10, 123, disjoint=True) for x in g]
-    assert len(set(flat)) == 30
-    out = sampling.balanced_groups([0] * 50 + [1] * 50, 2, 11, 7)
-    assert all(len(set(g)) == 11 and sum(x < 50 for x in g) in (5, 6) for g in out)
+    rows = sampling.draws(100, 3, 10, 123)
+    assert [p for g, _, p in rows if g == 1] == random.Random(124).sample(range(100), 10) and [r for g, r, _ in rows if g == 2] == list(range(10))
+    deck = list(range(100))
+    random.Random(123).shuffle(deck)
+    assert [p for _, _, p in sampling.draws(100, 3, 10, 123, disjoint=True)] == deck[:30]
+    for bad in ((9, 1, 10), (10, 0, 1), (10, 1, 0)):
+        with pytest.raises(ValueError):
+            sampling.draws(*bad, 1)
+    with pytest.raises(ValueError):
+        sampling.draws(20, 3, 10, 1, disjoint=True)
+    ks = sampling.class_schedule(50, 100, 12, 46)
+    assert len(ks) == 12 and sorted(k * 12 // 51 for k in [x - 50 for x in ks]) == sorted(range(12)) or all(50 <= k <= 100 for k in ks)
+    assert sampling.reservoir(5, 9, 1) == list(range(5)) and len(set(sampling.reservoir(1000, 10, 42))) == 10
+
+
+def test_quotas_of_many_tables():
+    """Sums, bounds, and the level of the water: no source that is not full stands lower than the others allow."""
+    r = random.Random(3)
+    for _ in range(300):
+        counts = {r.choice("abcdefghij") + str(k): r.randint(0, 900) for k in range(r.randint(1, 9))} | ({None: 7} if r.random() < 0.3 else {})
+        counts = {k: n for k, n in counts.items() if n} or {"a": 5}
+        base = r.randint(0, 5)
+        least, most = sum(min(n, base) for n in counts.values()), sum(counts.values())
+        target = r.randint(least, most)
+        q = sampling.source_quotas(counts, target, base)
+        assert sum(q.values()) == target and all(min(counts[s], base) <= q[s] <= counts[s] for s in q)
+        level = lambda s: (q[s] - min(counts[s], base)) / max(1e-9, (counts[s] - min(counts[s], base)) ** 0.5)  # noqa: E731, B023
+        free = [s for s in q if q[s] < counts[s]]
+        for s in free:
+            width = (counts[s] - min(counts[s], base)) ** 0.5
+            assert all(level(t) <= level(s) + 1 / width + 1 / max(1e-9, (counts[t] - min(counts[t], base)) ** 0.5) + 1e-9 for t in q if counts[t] > base)
+    assert sampling.source_quotas({"source_a": 1000, "source_b": 1000, "coig_cqia": 100}, 1500) == {"coig_cqia": 100, "source_a": 700, "source_b": 700}
+
+
+def test_rows_without_key_source_or_vector(spark):
+    """Null keys are kept or removed, never lost; null sources have quotas; null vectors and empty tables have defined scores."""
+    rows = [(None, "t", "s"), (None, "u", None), (1, "t", "s"), (1, "t", "s"), (2, None, "s"), (3, "", "s")]
+    kept, gone = dedup.exact(spark.createDataFrame(rows, "id long, text string, source string"), "text", ["source"], "id")
+    assert sorted(str(r.text) for r in kept.collect()) == ["None", "t", "u"] and sorted(str((r.id, r.matched_id)) for r in gone.collect()) == ["(1, None)", "(1, None)", "(3, 2)"]
+    df = spark.createDataFrame([(k, None if k % 2 else "a") for k in range(20)], "id long, source string")
+    got = sampling.quota_sample(df, {"a": 3, None: 4, "zz": 5}, "id").collect()
+    assert sum(r.source is None for r in got) == 4 and len(got) == 7
+    vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [1.0, 0.0]), ("d", [0.0, 1.0]), ("e", [1.0, 0.0])], "key string, embedding array<double>")
+    assert geometric.distsum_cosine(vec)[0] == pytest.approx(6) and kernel.internal_diversity(vec) == pytest.approx(1 - 10 / 16)
+    near = {(r.key, r.other) for r in geometric.nearest(vec, "key").collect()}
+    assert near == {("a", "c"), ("c", "a"), ("d", "a"), ("e", "a")}
+    none = vec.limit(0)
+    assert geometric.distsum_cosine(none) == (0.0, 0.0) and kernel.vendi_dual(none) == 0 and geometric.logdet(none) == 0 and kernel.internal_diversity(none) == 0
+    assert geometric.nearest(none, "key").count() == 0
+
+
+def test_small_tables_of_any_size(spark):
+    df = spark.range(100).selectExpr("id", "id % 7 AS k")
+    small = spark.range(7).selectExpr("id AS k", "id * 10 AS v")
+    for most in (10, 2):
+        assert sorted((r.id, r.v) for r in V.with_small(df, small, "k", most).collect()) == [(i, i % 7 * 10) for i in range(100)]
 
 
 def sequential(order, links):
