@@ -184,3 +184,14 @@ def scored(data: DataFrame, scores: DataFrame, key: str, names: list[str]) -> Da
     per = scores.groupBy(key).agg(row.alias("_s")).select(key, *[F.col(f"_s.{n}").cast("array<double>").alias(n) for n in names])
     out = data.join(per, key, "left")
     return out.withColumns({n: F.coalesce(n, F.array().cast("array<double>")) for n in names})
+
+
+def token_spans(messages: Column, size) -> Column:
+    """start, end and masked of each message in tokens, from the lengths of all before it; ``size`` gives a text's length, and all but answers are masked."""
+    first = F.array().cast("array<struct<start:int,end:int,masked:boolean>>")
+
+    def add(done, m):
+        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
+        return F.concat(done, F.array(F.struct(start.alias("start"), (start + size(m["content"])).cast("int").alias("end"), (~m["role"].eqNullSafe(F.lit("assistant"))).alias("masked"))))
+
+    return F.aggregate(messages, first, add)

@@ -48,6 +48,11 @@ def char_ngrams(c: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.element_at(made, 1)).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_ngrams(c: Column, n: int) -> Column:
+    """Distinct windows of n characters as 64-bit hashes: a third of the windows' own size where sets are shuffled."""
+    return F.transform(char_ngrams(c, n), lambda x: F.xxhash64(x))
+
+
 def ngrams(items: Column, n: int) -> Column:
     """Windows of n items joined by a blank, repeats kept. ``items`` is bound once, whatever its cost."""
     if n == 1:
@@ -66,3 +71,9 @@ def base_hash(c: Column) -> Column:
     """The first four bytes of SHA-1 as a little-endian unsigned number."""
     h = F.sha1(c.cast("binary"))
     return F.conv(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+
+
+def hex_halves(c: Column) -> tuple[Column, Column]:
+    """The high and the low 64 bits of 32 hexadecimal digits as whole numbers."""
+    half = lambda k: F.conv(F.substring(c, k, 16), 16, 10).cast("decimal(38,0)")
+    return half(1), half(17)

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams
-from ..sources.tables import materialize
+from ..functions.text import hashed_ngrams
+from ..sources.tables import bounded, discard, materialize
 
 PRIME = (1 << 61) - 1
 
@@ -55,7 +55,7 @@ def contamination(df: DataFrame, dev: DataFrame, key: str, doc: str, prompt: str
     here = materialize(text(df).join(dev_text.select("k"), "k", "left_anti"))
     a, b = (materialize(band_table(d, "k", "t", window, **options)) for d in (here, dev_text))
     pairs = a.select("band", "bucket", F.col("key").alias("a")).join(b.select("band", "bucket", F.col("key").alias("b")), ["band", "bucket"]).select("a", "b").distinct()
-    side = lambda d, n: d.select(F.col("k").alias(n), char_ngrams(F.col("t"), window).alias(f"s{n}"))
+    side = lambda d, n: d.select(F.col("k").alias(n), hashed_ngrams(F.col("t"), window).alias(f"s{n}"))
     similarity = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
     alike = pairs.join(side(here, "a"), "a").join(side(dev_text, "b"), "b").select("a", "b", similarity.alias("s")).filter(F.col("s") >= threshold)
     named = alike.join(by(prompt, "b"), "b").groupBy(F.col("a").alias("_p")).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("mb").alias("m"))).alias("_n"))
@@ -82,11 +82,21 @@ def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(s >= p, s - p, s)
 
 
-def signature(shingles: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+class Hashes(dict):
+    """The base hash of each shingle, made once: texts share most of theirs. Emptied when it is large."""
+
+    def __missing__(self, s: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[s] = h = int.from_bytes(hashlib.sha1(s.encode()).digest()[:4], "little")
+        return h
+
+
+def signature(shingles, a: np.ndarray, b: np.ndarray, hashes: Hashes | None = None) -> np.ndarray:
     """The least permuted hash of the shingles under each function, as 32 bits; PRIME for no shingles."""
     if not len(shingles):
         return np.full(len(a), PRIME, np.uint64)
-    x = np.array([int.from_bytes(hashlib.sha1(s.encode()).digest()[:4], "little") for s in shingles], np.uint64)
+    x = np.array([*map((Hashes() if hashes is None else hashes).__getitem__, shingles)], np.uint64)
     best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(x), 64):
         v = _times(a[:, None], x[None, k : k + 64]) + b[:, None]
@@ -101,9 +111,10 @@ def band_table(df: DataFrame, key: str, text: str, window: int = 5, n: int = 256
     per = n // bands
 
     def run(batches):
-        for batch in batches:
+        hashes = Hashes()
+        for batch in (part for b_ in batches for part in bounded(b_, 1)):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            sig = np.array([signature(sorted({t[i : i + window] for i in range(len(t) - window + 1)}) if t else [], a, b) for t in texts], np.uint64).reshape(len(texts), n)
+            sig = np.array([signature({t[i : i + window] for i in range(len(t) - window + 1)} if t else (), a, b, hashes) for t in texts], np.uint64).reshape(len(texts), n)
             buckets = [hashlib.blake2b(sig[r, k * per : (k + 1) * per].tobytes(), digest_size=8).digest() for r in range(len(texts)) for k in range(bands)]
             rows = np.repeat(np.arange(len(texts)), bands)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(texts))), pa.array(np.frombuffer(b"".join(buckets), np.int64))], names=["key", "band", "bucket"])
@@ -112,7 +123,12 @@ def band_table(df: DataFrame, key: str, text: str, window: int = 5, n: int = 256
 
 
 def deciding_pairs(df: DataFrame, key: str, text: str, order: list[str], threshold: float = 0.8, window: int = 5, first: int = 8, **options) -> DataFrame:
-    """a, b and similarity of the similar pairs that the keep-first rule needs, a before b in ``order``.
+    """a, b and similarity of the similar pairs that the keep-first rule needs, a before b in ``order``."""
+    return settled(df, key, text, order, threshold, window, first, **options)[0]
+
+
+def settled(df: DataFrame, key: str, text: str, order: list[str], threshold: float = 0.8, window: int = 5, first: int = 8, **options) -> tuple[DataFrame, DataFrame]:
+    """The pairs above, and key and kept of all rows that share a bucket with another.
 
     Members of a bucket are not all paired. In each round the first few undecided members of every bucket are
     compared with all later members; what is similar to a kept record is then gone and compares with none after
@@ -126,7 +142,7 @@ def deciding_pairs(df: DataFrame, key: str, text: str, order: list[str], thresho
     rank = df.select(F.col(key).alias("key"), F.struct(*order, key).alias("o"))
     members = materialize(bands.join(sizes, bucket).join(rank, "key").withColumn("taken", F.lit(False)))
     state = materialize(members.select("key").distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    sets = df.select(F.col(key).alias("k"), char_ngrams(F.col(text), window).alias("s"))
+    sets = df.select(F.col(key).alias("k"), hashed_ngrams(F.col(text), window).alias("s"))
     side = lambda n: sets.select(F.col("k").alias(n), F.col("s").alias(f"s{n}"))
     both, all_ = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
     similarity = F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
@@ -142,10 +158,12 @@ def deciding_pairs(df: DataFrame, key: str, text: str, order: list[str], thresho
         pairs = x.join(y, [*bucket, "share"]).filter("oa < ob").select("a", "b").distinct()
         found = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold))
         links = found if links is None else links.unionByName(found)
+        before, old = members, state
         members = materialize(members.join(now.select("key", *bucket, F.lit(True).alias("now")), ["key", *bucket], "left").select("key", *bucket, "shares", "o", (F.col("taken") | F.coalesce("now", F.lit(False))).alias("taken")))
         state = _decided(members, state, links)
+        discard(before, old, now)
         take = min(2 * take, 512)  # Spark cuts a window's input before the shuffle up to 1,000 places
-    return links if links is not None else _no_pairs(df, key)
+    return links if links is not None else _no_pairs(df, key), state
 
 
 def _decided(members: DataFrame, state: DataFrame, links: DataFrame) -> DataFrame:
@@ -177,7 +195,13 @@ def keep_first(nodes: DataFrame, pairs: DataFrame, key: str, order: list[str]) -
         s = edges.join(state.select(F.col("k").alias("u"), F.col("kept").alias("ku")), "u")
         seen = s.groupBy(F.col("v").alias("k")).agg(F.max(F.coalesce(F.col("ku"), F.lit(False)).cast("int")).alias("hit"), F.max(F.col("ku").isNull().cast("int")).alias("open"))
         new = F.when(F.coalesce("hit", F.lit(0)) == 1, F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = materialize(state.join(seen, "k", "left").select("k", F.coalesce("kept", new).alias("kept")))
+        old, state = state, materialize(state.join(seen, "k", "left").select("k", F.coalesce("kept", new).alias("kept")))
+        discard(old)
+    return _matched(nodes, edges, state, rank, key)
+
+
+def _matched(nodes: DataFrame, edges: DataFrame, state: DataFrame, rank: DataFrame, key: str) -> DataFrame:
+    """Decisions (k, kept) with the most similar kept row before each removed one, by edges (u, v, similarity), u first."""
     kept = state.filter("kept").select(F.col("k").alias("u"))
     best = edges.join(kept, "u").join(rank.select(F.col("k").alias("u"), "o"), "u").groupBy(F.col("v").alias("k")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "o", "u")).alias("m"))
     out = nodes.select(F.col(key).alias("k")).join(state, "k", "left").join(best, "k", "left")
@@ -189,7 +213,9 @@ def near(df: DataFrame, key: str, text: str, order: list[str], threshold: float
     """Exact duplicates first, then the keep-first rule over similar pairs of what is left."""
     first, copies = exact(df, text, order, key)
     first = materialize(first)
-    found = keep_first(first, deciding_pairs(first, key, text, order, threshold, **options), key, order)
+    links, state = settled(first, key, text, order, threshold, **options)
+    rank = first.select(F.col(key).alias("k"), F.struct(*order, key).alias("o"))
+    found = _matched(first, links.select(F.col("a").alias("u"), F.col("b").alias("v"), "similarity"), state.select(F.col("key").alias("k"), "kept"), rank, key)
     more = copies.select(key, F.lit(False).alias("kept"), F.col("matched_id"), F.lit(1.0).alias("similarity"))
     return found.unionByName(more)
 

@@ -262,3 +262,15 @@ def final_score(*scores: str):
     for s in rest:
         c = F.zip_with(c, F.col(s), lambda x, y: x * y)
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+
+def pipeline(rows: DataFrame, judged: DataFrame, embedded: DataFrame, key: str, scores: list[str], threshold: float = 0.92, size: int | None = None, vector: str = "embedding") -> DataFrame:
+    """rank, the columns of ``rows``, and score: the best-scored rows whose vectors are not too near to a better one's.
+
+    ``judged`` has the key and an array for each name in ``scores``, ``embedded`` the key and a vector. Rows without either
+    are left out.
+    """
+    scored = judged.select(key, final_score(*scores).alias("score")).join(embedded.select(key, vector), key)
+    scored = materialize(scored.withColumn("_down", -F.col("score")))
+    kept = redundancy_filter(scored, key, vector, ["_down"], threshold, size)
+    return kept.join(scored.select(key, "score"), key).join(rows, key).select("rank", *rows.columns, "score")

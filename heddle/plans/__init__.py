@@ -1,3 +1,3 @@
 """Plans; importing the package fills the catalogue."""
 
-from . import catalogue, curation  # noqa: F401
+from . import catalogue, curation, exchange  # noqa: F401

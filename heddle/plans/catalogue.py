@@ -248,7 +248,25 @@ def base_hashes(spark, d):
     return table(spark, d, "benchmark").select("item_id", X.base_hash(F.col("text")).alias("h"))
 
 
-@query()
+#: Pairs of texts with a similarity of 0.8 by 5-character windows: two such sets share one of their rarest fifth (and one more) windows.
+SIMILAR = """
+t AS (SELECT doc_id, coalesce(text, '') AS text, source, row_number() OVER (ORDER BY source, doc_id) AS i FROM documents),
+x AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text ORDER BY i) AS first FROM t),
+g AS MATERIALIZED (SELECT DISTINCT i, substr(text, p, 5) AS g FROM (SELECT i, text, unnest(range(1, length(text) - 3)) AS p FROM x WHERE doc_id = first AND length(text) >= 5)),
+n AS MATERIALIZED (SELECT i, count(*) AS n FROM g GROUP BY 1),
+k AS MATERIALIZED (SELECT i, g, n, row_number() OVER (PARTITION BY i ORDER BY f, g) AS k FROM g JOIN (SELECT g, count(*) AS f FROM g GROUP BY 1) USING (g) JOIN n USING (i)),
+c AS MATERIALIZED (SELECT DISTINCT a.i AS a, b.i AS b, a.n AS na, b.n AS nb FROM k a JOIN k b USING (g) WHERE a.i < b.i AND a.k <= a.n * 0.2 + 1 AND b.k <= b.n * 0.2 + 1 AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+j AS (SELECT a, b, count(*) / (any_value(na) + any_value(nb) - count(*)) AS s FROM c JOIN g x ON x.i = c.a JOIN g y ON y.i = c.b AND y.g = x.g GROUP BY 1, 2
+  UNION ALL SELECT a.i, b.i, 1.0 FROM x a JOIN x b ON a.i < b.i AND length(a.text) < 5 AND length(b.text) < 5 AND a.doc_id = a.first AND b.doc_id = b.first),
+l AS MATERIALIZED (SELECT * FROM j WHERE s >= 0.8),
+o AS MATERIALIZED (SELECT b AS i, list(a) AS close, row_number() OVER (ORDER BY b) AS step FROM l GROUP BY b),
+r AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS gone UNION ALL
+  SELECT o.step, CASE WHEN len([z FOR z IN o.close IF NOT list_contains(r.gone, z)]) > 0 THEN list_append(r.gone, o.i) ELSE r.gone END FROM r JOIN o ON o.step = r.step + 1),
+e AS (SELECT unnest(gone) AS i FROM r WHERE step = (SELECT max(step) FROM r)),
+m AS (SELECT l.b AS i, arg_min(t.doc_id, {'s': -l.s, 'i': l.a}) AS matched_id, round(max(l.s), 6) AS similarity FROM l JOIN e ON e.i = l.b JOIN t ON t.i = l.a WHERE l.a NOT IN (SELECT i FROM e) GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {SIMILAR} SELECT doc_id, doc_id = first AND m.i IS NULL AS kept, CASE WHEN doc_id <> first THEN first ELSE m.matched_id END AS matched_id, CASE WHEN doc_id <> first THEN 1.0 ELSE m.similarity END AS similarity FROM x LEFT JOIN m USING (i)")
 def minhash_keep_first(spark, d):
     return dedup.near(table(spark, d, "documents"), "doc_id", "text", ["source"])
 

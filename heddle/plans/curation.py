@@ -108,11 +108,28 @@ def short_context_filter(spark, d):
     return n.agg(F.count_if(F.col("n") > 5).alias("kept"), F.count_if(F.col("n") <= 5).alias("short"))
 
 
-@query()
+#: Documents, and items of the benchmark: whole ones, ones within another document, ones with an end of their own.
+TAINTED = """
+i AS (SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'Q: ' || text ELSE text || ' end' END AS doc, CASE item_id % 3 WHEN 2 THEN text || ' end' ELSE text END AS prompt FROM benchmark),
+r AS (SELECT doc_id AS key, text AS doc, text AS prompt FROM documents UNION ALL SELECT -1 - item_id, doc, prompt FROM i),
+gb AS MATERIALIZED (SELECT DISTINCT item_id, substr(text, p, 5) AS g FROM (SELECT item_id, text, unnest(range(1, length(text) - 3)) AS p FROM benchmark WHERE length(text) >= 5)),
+nb AS (SELECT item_id, count(*) AS n FROM gb GROUP BY 1),
+gr AS MATERIALIZED (SELECT DISTINCT key, substr(prompt, p, 5) AS g FROM (SELECT key, prompt, unnest(range(1, length(prompt) - 3)) AS p FROM r WHERE length(prompt) BETWEEN 5 AND (SELECT 2 * max(length(text)) FROM benchmark))),
+nr AS (SELECT key, count(*) AS n FROM gr GROUP BY 1),
+s AS (SELECT key, item_id, count(*) / (any_value(nr.n) + any_value(nb.n) - count(*)) AS s FROM gr JOIN gb USING (g) JOIN nr USING (key) JOIN nb USING (item_id) GROUP BY 1, 2),
+b AS (SELECT key, arg_min(item_id, {'s': -s, 'i': item_id}) AS item_id, max(s) AS s FROM s WHERE s >= 0.8 GROUP BY 1),
+d AS (SELECT key, min(item_id) AS m FROM r JOIN benchmark x ON coalesce(r.doc, '') = coalesce(x.text, '') GROUP BY 1),
+p AS (SELECT key, min(item_id) AS m FROM r JOIN benchmark x ON coalesce(r.prompt, '') = coalesce(x.text, '') GROUP BY 1)"""
+
+
+@query(f"WITH {TAINTED} SELECT key AS doc_id, coalesce(d.m, p.m, b.item_id) AS matched_id, CASE WHEN d.m IS NOT NULL THEN 'exact_doc' WHEN p.m IS NOT NULL THEN 'exact_prompt' ELSE 'prompt_minhash' END AS match_type, CASE WHEN d.m IS NULL AND p.m IS NULL THEN round(b.s, 6) END AS similarity FROM r LEFT JOIN d USING (key) LEFT JOIN p USING (key) LEFT JOIN b USING (key) WHERE coalesce(d.m, p.m, b.item_id) IS NOT NULL")
 def contamination_matches(spark, d):
-    """Documents that are, or nearly are, items of the benchmark: the text stands for document and prompt."""
-    both = lambda t: table(spark, d, t).withColumn("prompt", F.col("text"))
-    return dedup.contamination(both("documents"), both("benchmark"), "doc_id", "text", "prompt", "item_id")
+    """Which documents, and which changed items put among them, are or nearly are items of the benchmark."""
+    bench = table(spark, d, "benchmark")
+    kind = F.col("item_id") % 3
+    own = bench.select((-1 - F.col("item_id")).alias("doc_id"), F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("Q: "), "text")).otherwise(F.concat("text", F.lit(" end"))).alias("text"), F.when(kind == 2, F.concat("text", F.lit(" end"))).otherwise(F.col("text")).alias("prompt"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("text").alias("prompt")).unionByName(own)
+    return dedup.contamination(docs, bench.select("item_id", "text", F.col("text").alias("prompt")), "doc_id", "text", "prompt", "item_id")
 
 
 @query("WITH p AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0), m AS (SELECT d.doc_id, d.text, CASE WHEN d.doc_id IN (SELECT doc_id FROM p) THEN 'pool_id' WHEN d.text IN (SELECT text FROM p WHERE text IS NOT NULL) THEN 'pool_content' END AS r FROM documents d), f AS (SELECT text, min(doc_id) AS first FROM m WHERE r IS NULL GROUP BY 1) SELECT doc_id, coalesce(r, CASE WHEN doc_id <> first THEN 'internal_duplicate' END) AS reason FROM m LEFT JOIN f ON m.text = f.text")
@@ -133,8 +150,23 @@ def mode_dropping_groups(spark, d):
     return sampling.first_categories(docs, 12, "lang", langs, "doc_id")
 
 
-@query("SELECT 'duplicate_ids' AS \"check\", 0::BIGINT AS failures UNION ALL VALUES ('invalid_messages', 0), ('misaligned', 0), ('places', 0)")
+@query(f"""WITH {REASONS}
+SELECT 'rows' AS "check", 1::BIGINT AS failures UNION ALL SELECT 'duplicate_ids', 1 UNION ALL SELECT 'invalid_messages', count(*) FROM v WHERE reason IS NOT NULL
+UNION ALL SELECT 'misaligned', count(*) FILTER (WHERE conv_id % 5 = 0) + 1 FROM v UNION ALL SELECT 'places', 1""")
+def audit_of_faults(spark, d):
+    """An audit of all conversations, invalid ones among them, one of them twice, a place left out, and every fifth document at a wrong row: each check counts its faults."""
+    rows = convs(spark, d).select(F.col("conv_id").alias("sample_id"), "messages")
+    placed = sampling.placed(rows, ["sample_id"], "candidate_index")
+    last = placed.agg(F.max("candidate_index").alias("m"), F.max("sample_id").alias("s")).first()
+    docs = placed.select("sample_id", F.when(F.col("sample_id") % 5 == 0, F.col("candidate_index") + 100_000).otherwise(F.col("candidate_index")).alias("row_index"))
+    valid = rows.filter(M.invalid_reason(F.col("messages")).isNull()).agg(F.min("sample_id")).first()[0]
+    again = placed.filter(F.col("sample_id") == valid).withColumn("candidate_index", F.lit(last.m + 2))
+    return pool.audit(placed.unionByName(again), docs, last.m + 1)
+
+
+@query(f"""WITH {REASONS} SELECT * FROM (VALUES ('duplicate_ids', 0::BIGINT), ('invalid_messages', 0), ('misaligned', 0), ('places', 0)) c("check", failures) WHERE (SELECT count(*) FROM v WHERE reason IS NULL) > 0""")
 def candidate_pool_audit(spark, d):
+    """A pool of half the valid rows, audited against its tables; that faults are found is seen in ``audit_of_faults``."""
     c = M.conversations(table(spark, d, "conversations")).select(F.col("conv_id").alias("id"), F.lit("conv").alias("source"), "messages")
     return pool_audited(spark, adapters.chat_rows(c, "c"), table(spark, d, "benchmark"))
 

@@ -81,3 +81,29 @@ def audit(pool: DataFrame, docs: DataFrame, expected: int | None = None) -> Data
             row = df.select(F.lit(name).alias("check"), F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
             out = row if out is None else out.unionByName(row)
     return out
+
+
+def validation(records: DataFrame, n: int, seed: int = 42, pool: DataFrame | None = None) -> DataFrame:
+    """``n`` rows (sample_id, source, messages, row_index) by the order of a hash, each sample_id once, without those that a pool holds by id or content."""
+    rows = records.groupBy("sample_id").agg(F.min(F.struct("source", "messages")).alias("r")).select("sample_id", "r.*").withColumn("_key", M.key(F.col("messages")))
+    if pool is not None:
+        known = pool.select("sample_id", M.key(F.col("messages")).alias("_key"))
+        reasons = sampling.exclusion_reasons(rows, known, "sample_id", "_key")
+        rows = reasons.filter("reason IS NULL").drop("reason")
+    return sampling.placed(sampling.hash_sample(rows, n, "sample_id", seed), ["sample_id"], "row_index").drop("_key")
+
+
+def export_validation(spark: SparkSession, rows: DataFrame, path: str, mode: str = "errorifexists") -> dict[str, str]:
+    """The rows whole and as messages alone, in the same order; a hash of each."""
+    rows = tables.materialize(rows)
+    shapes = {"canonical": rows, "messages": rows.select("row_index", "messages")}
+    for name, df in shapes.items():
+        tables.write_jsonl(df, f"{path}/{name}", "row_index", mode)
+    hashes = {name: tables.content_hash(df.withColumn("messages", F.to_json("messages"))) for name, df in shapes.items()}
+    tables.write_manifest(spark, f"{path}/manifest", hashes)
+    return hashes
+
+
+def export_selection(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Selected rows in a folder for each group_id, as JSON lines."""
+    tables.without_transient(rows).repartition("group_id").sortWithinPartitions("group_id", "candidate_index").write.mode(mode).partitionBy("group_id").json(path)

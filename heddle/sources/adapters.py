@@ -56,3 +56,12 @@ def best_paths(nodes: DataFrame) -> DataFrame:
     upto = F.expr("array_max(transform(filter(t, x -> x.role = 'assistant'), x -> x.depth)) + 1")
     cut = turns.withColumn("n", upto).filter("n IS NOT NULL")
     return cut.select("message_tree_id", F.expr("transform(slice(t, 1, n), x -> struct(x.role AS role, x.content AS content))").alias("messages")).filter(~F.exists("messages", lambda m: m["content"] == ""))
+
+
+def original_stream(*pools: DataFrame) -> DataFrame:
+    """The valid rows of several adapted pools, with ``pool``, the place of their pool; rows with a reason are left out."""
+    out = None
+    for k, rows in enumerate(pools):
+        part = rows.filter("reason IS NULL").drop("reason").withColumn("pool", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -29,7 +29,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes to the shared folder and reads back: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once nothing still to be computed reads them."""
+    for t in written:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, lines: bool = True, wrapped: str | None = None) -> DataFrame:
@@ -107,3 +116,105 @@ def summary(df: DataFrame) -> DataFrame:
     stats = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest"))
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType)]
     return df.agg(F.array(*[stats(c) for c in plain]).alias("s")).select(F.inline("s"))
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    found = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()  # one row
+    return found[0].value.strip() if found else ""
+
+
+def read_any_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of one JSON array or of JSON lines, told apart by the first line: one that is a whole object makes lines."""
+    line = first_line(spark, path)
+    try:
+        lines = not line or isinstance(json.loads(line), dict)
+    except ValueError:
+        lines = False
+    return read_json(spark, path, schema, lines=lines)
+
+
+def count_records(spark: SparkSession, path: str) -> int:
+    """Lines of JSON lines, elements of one JSON array, or keys of one object; records are not parsed into columns."""
+    line = first_line(spark, path)
+    try:
+        whole = not isinstance(json.loads(line), dict) if line else False
+    except ValueError:
+        whole = True
+    if not whole and count_rows(spark, path) > 1:
+        return count_rows(spark, path)
+    n = F.when(F.ltrim("value").startswith("["), F.json_array_length("value")).otherwise(F.size(F.json_object_keys("value")))
+    return spark.read.text(path, wholetext=True).agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that is there: raw files, say, else processed ones."""
+    for p in paths:
+        if path_exists(spark, p):
+            return p
+    raise FileNotFoundError(", ".join(paths))
+
+
+def open_dataset(spark: SparkSession, name: str, resolve=None, kind: str = "parquet", split: str | None = None) -> DataFrame:
+    """A table at a path, or of a split below it (the first split in name order where the one asked for is missing).
+
+    A name that is no path goes to ``resolve``, which returns a path for it; without one it is an error.
+    """
+    if not path_exists(spark, name):
+        if resolve is None:
+            raise FileNotFoundError(f"{name} is no path, and nothing resolves names")
+        name = resolve(name)
+    if split is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        below = sorted(f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if f.isDirectory())
+        name = f"{name}/{split if split in below else below[0]}"
+    return spark.read.format(kind).load(name)
+
+
+def reusable(spark: SparkSession, paths: list[str], overwrite: bool = False) -> bool:
+    """Whether a stage can be skipped: all of its tables are finished. Some but not all is an error, unless they are overwritten."""
+    done = [p for p in paths if exported(spark, p)]
+    if overwrite or not done:
+        return False
+    if len(done) < len(paths):
+        raise FileExistsError(f"only a part of the stage is there: {', '.join(done)}")
+    return True
+
+
+def write_files(files: DataFrame, path: str) -> list[str]:
+    """Writes rows of name and content (binary) as files, one at a time through the driver; the names, in order."""
+    spark, names = files.sparkSession, []
+    for r in files.select("name", "content").toLocalIterator():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.name}")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(r.content))
+        out.close()
+        names.append(r.name)
+    return sorted(names)
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """name and sha256 of the bytes of every file below a path, read by the executors."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def without_transient(df: DataFrame) -> DataFrame:
+    """Without the columns whose names begin with an underscore."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def bounded(batch, column: int, rows: int = 512, most: int = 4 << 20):
+    """Slices of an Arrow batch of at most ``rows`` rows and about ``most`` bytes of one text column; one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < batch.num_rows:
+        held = sizes[start : start + rows].cumsum()
+        n = max(1, int((held <= most).sum()))
+        yield batch.slice(start, n)
+        start += n
