@@ -163,7 +163,12 @@ def settled(df: DataFrame, key: str, text: str, order: list[str], threshold: flo
         state = _decided(members, state, links)
         discard(before, old, now)
         take = min(2 * take, 512)  # Spark cuts a window's input before the shuffle up to 1,000 places
-    return links if links is not None else _no_pairs(df, key), state
+    if links is None:
+        return _no_pairs(df, key), state
+    while not state.filter("kept IS NULL").isEmpty():  # chains of rows that wait for one another only
+        old, state = state, _decided(members, state, links)
+        discard(old)
+    return links, state
 
 
 def _decided(members: DataFrame, state: DataFrame, links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..sources.tables import shared_dir, table
 from . import pool
 from .catalogue import REASONS, TURNS, convs, query, rounded, row
 
-ITEM = T.StructType.fromDDL("item_id string, text string")
+ITEM = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("text", T.StringType())])
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -171,7 +171,10 @@ def vectors_of(spark, d):
 
 
 SUMS = "SELECT vec_id AS doc_id, round(list_sum(embedding::DOUBLE[]), 6) AS total, len(embedding)::INT AS size, round(-(1 + (vec_id % 17) / 10.0::DOUBLE), 6) AS ln_p FROM embeddings"
-SUM = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+
+
+def summed(c: str):
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
 
 @query(SUMS)
@@ -179,7 +182,7 @@ def sqlite_features(spark, d):
     """Vectors written as SQLite files of pickled arrays, and read by the names of their columns."""
     path = shared_dir(spark)
     tables.write_files(features.sqlite_files(vectors_of(spark, d)), path)
-    return rounded(features.read_sqlite(spark, path).select("doc_id", SUM.alias("total"), F.size("embedding").alias("size"), "ln_p"))
+    return rounded(features.read_sqlite(spark, path).select("doc_id", summed("embedding").alias("total"), F.size("embedding").alias("size"), "ln_p"))
 
 
 @query("SELECT 'embedded' AS table_name, 'table' AS kind, unnest(['doc_id', 'embedding', 'ln_p']) AS \"column\", unnest(['INTEGER', 'BLOB', 'REAL']) AS type, count(*)::BIGINT AS rows FROM embeddings")
@@ -195,7 +198,7 @@ def npz_features(spark, d):
     path, e = shared_dir(spark), vectors_of(spark, d).withColumn("sample_id", F.col("doc_id").cast("string"))
     tables.write_files(features.npz_files(e, "sample_id", "embedding"), path)
     got = features.aligned(features.read_npz(spark, path), e.select("sample_id", F.col("doc_id").alias("place")), "sample_id", "place")
-    return rounded(got.select("place", "sample_id", F.aggregate("value", F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return rounded(got.select("place", "sample_id", summed("value").alias("total")))
 
 
 @query("SELECT 'missing' AS \"check\", count(*) FILTER (WHERE vec_id % 7 = 0) AS failures FROM embeddings UNION ALL SELECT 'unknown', 1 UNION ALL SELECT 'repeated', count(*) FILTER (WHERE vec_id % 11 = 0 AND vec_id % 7 <> 0) FROM embeddings UNION ALL SELECT 'length', count(*) FILTER (WHERE vec_id % 13 = 0 AND vec_id % 7 <> 0) + count(*) FILTER (WHERE vec_id % 13 = 0 AND vec_id % 11 = 0 AND vec_id % 7 <> 0) FROM embeddings UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE vec_id % 5 = 0 AND vec_id % 7 <> 0) + count(*) FILTER (WHERE vec_id % 5 = 0 AND vec_id % 11 = 0 AND vec_id % 7 <> 0) FROM embeddings")
