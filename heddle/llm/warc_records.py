@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import append, pieces
+from .shared import pieces
 
 VERSION = b"WARC/1.1"
 #: What a revisit was found by (WARC 1.1, 6.7): fixed values.
@@ -134,26 +134,22 @@ def parsed(files: DataFrame, content: str = "content", payload: bool = False) ->
     return files.select(content).mapInArrow(run, schema)
 
 
+#: What a record is written from, and the types.
+GIVEN = {"record_id": "string", "url": "string", "ts": "long", "kind": "string", "profile": "string", "status": "int", "headers": "map<string,string>", "body": "binary"}
+
+
 def written(df: DataFrame, out: str = "content") -> DataFrame:
-    """Appends each row's record as bytes: record_id, url, ts, kind, and optionally profile, status, headers and body (binary)."""
-    has = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
-    packed = F.to_json(F.struct(
-        F.col("record_id").cast("string").alias("i"), F.col("url").alias("u"), F.col("ts").alias("t"), F.col("kind").alias("k"),
-        has("profile", "string").alias("p"), has("status", "int").alias("s"), F.map_entries(has("headers", "map<string,string>")).alias("h"), F.base64(has("body", "binary")).alias("b"),
-    ))
-
-    def make():
-        import base64
-        import json
-
-        def one(text):
-            r = json.loads(text)
-            block = http(r.get("s") or 200, {e["key"]: e["value"] for e in r.get("h") or []}, base64.b64decode(r.get("b") or ""))
-            ts = r.get("t")
-            angle = lambda v: None if v is None else f"<{v}>"
-            named = {"WARC-Type": r.get("k"), "WARC-Record-ID": angle(r.get("i")), "WARC-Target-URI": r.get("u"), "WARC-Date": None if ts is None else date_of(ts), "WARC-Profile": r.get("p"), "Content-Type": "application/http"}
-            return record(named, block)
-
-        return lambda texts: [[one(t) for t in texts]]
-
-    return append(df.withColumn("__record", packed), "__record", [T.StructField(out, T.BinaryType())], make, rows=256).drop("__record")
+    """``out``, the record of each row as bytes, beside its record_id: record_id, url, ts, kind, and optionally profile, status, headers and body (binary)."""
+    given = [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in GIVEN.items()]
+    angle = lambda v: None if v is None else f"<{v}>"
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, 256, "body"):
+                made = []
+                for i, url, ts, kind, profile, status, headers, body in zip(*(part.column(c).to_pylist() for c in GIVEN), strict=True):
+                    named = {"WARC-Type": kind, "WARC-Record-ID": angle(i), "WARC-Target-URI": url, "WARC-Date": None if ts is None else date_of(ts), "WARC-Profile": profile, "Content-Type": "application/http"}
+                    made.append(record(named, http(status or 200, dict(headers or ()), body or b"")))
+                yield pa.RecordBatch.from_arrays([part.column("record_id"), pa.array(made, pa.binary())], names=["record_id", out])
+
+    return df.select(*given).mapInArrow(run, f"record_id string, {out} binary")
