@@ -699,6 +699,34 @@ def test_odd_values(spark, odd):
     assert sum(r.taken for r in taken) == sum(int(r.target) for r in {(r.source, r.target): r for r in taken}.values())
 
 
+def test_odd_stages(spark, odd, none, tmp_path):
+    """Every pipeline stage on nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d, ids = str(tmp_path), lambda df: sorted(r.doc_id for r in df.collect())
+    everyone = sorted([*range(len(ODD)), 8, 0])
+    good = P.keep_good(spark, odd, d)
+    assert good.columns == odd.columns and ids(good) == everyone and {r.score for r in good.collect()} == {0.5}  # no labels: nothing is rejected
+    one = P.keep_one_of_each_group(spark, odd, d)
+    assert one.columns == odd.columns and ids(one) == [k for k in everyone if k != 9]
+    clean = P.redact_secrets(spark, odd, d)
+    assert clean.columns == odd.columns and {(r.doc_id, r.text, r.n_chars) for r in clean.collect()} == {(k, t, None if t is None else len(t)) for k, t in enumerate(ODD)}
+    mixed = P.mix_sources(spark, odd, d)
+    plan = Counter()
+    for r in source_mix.mix(odd).collect():
+        plan[r.doc_id] += r.taken
+    words = Counter()
+    for r in mixed.collect():
+        words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert mixed.columns == odd.columns and {k: n for k, n in plan.items() if n} == dict(words)
+    lib = sentencepiece_codec.codec(queries.piece_model()).library
+    coded = P.encode(spark, odd, d).collect()
+    assert all(list(r.piece_ids) == [*lib.encode(ODD[r.doc_id] or ""), lib.eos_id()] and r.n_tokens == len(r.piece_ids) for r in coded) and len(coded) == len(everyone)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, d).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
