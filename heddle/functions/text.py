@@ -67,6 +67,18 @@ def ngrams(items: Column, n: int) -> Column:
     return F.element_at(F.transform(F.array(items), joined), 1)
 
 
+def ngram_hashes(items: Column, n: int) -> Column:
+    """Windows of n items as 64-bit hashes, repeats kept: to be counted without their texts. ``items`` is bound once."""
+
+    def joined(w: Column) -> Column:
+        out = w
+        for k in range(1, n):
+            out = F.zip_with(F.slice(out, F.lit(1), F.size(w) - k), F.slice(w, F.lit(k + 1), F.size(w) - k), lambda x, y: F.xxhash64(x, y))
+        return F.when(F.size(w) >= n, out).otherwise(F.array().cast("array<bigint>"))
+
+    return F.element_at(F.transform(F.array(F.transform(items, lambda x: F.xxhash64(x))), joined), 1)
+
+
 def base_hash(c: Column) -> Column:
     """The first four bytes of SHA-1 as a little-endian unsigned number."""
     h = F.sha1(c.cast("binary"))

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams
+from ..functions.text import ngram_hashes
 
 
 def ngram_counts(df: DataFrame, tokens: Column, n: int) -> DataFrame:
-    """gram and how often it occurs in all rows."""
-    return df.select(F.explode(ngrams(tokens, n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    """gram, as a 64-bit hash, and how often it occurs in all rows."""
+    return df.select(F.explode(ngram_hashes(tokens, n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
 
 
 def entropy(df: DataFrame, tokens: Column, n: int) -> DataFrame:
@@ -131,7 +131,7 @@ def pairwise_bleu(sentences: list[list[str]]) -> float:
 
 def report(df: DataFrame, tokens: Column, group: str, most: int = 3, threshold: int = 100) -> DataFrame:
     """Per group and n: distinct_n, entropy in bits, total, and for n = 1 the share of rare tokens. One pass over the grams."""
-    rows = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(tokens, n).alias("g")) for n in range(1, most + 1)])
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), ngram_hashes(tokens, n).alias("g")) for n in range(1, most + 1)])
     grams = df.select(group, F.inline(rows)).select(group, "n", F.explode("g").alias("gram"))
     c = grams.groupBy(group, "n", "gram").agg(F.count("*").alias("c"))
     rare = F.sum(F.when(F.col("c") <= threshold, F.col("c")).otherwise(0))
