@@ -59,13 +59,24 @@ class Template:
     sep2: str = ""
     system: str = ""
     first_round: int = 0
+    opening: tuple[str, ...] = ()  # turns that stand before those of every conversation
 
 
 INSTRUCTION = "Below is an instruction that describes a task. Write a response that appropriately completes the request."
+HUMAN = "A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions."
 CURIOUS = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."
-#: Roles and separators of public models. Fixed values; templates with longer system texts come from a file, by ``load``.
+RESPECTFUL = (
+    "<s>[INST] <<SYS>>\nYou are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe. "
+    "Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. "
+    "Please ensure that your responses are socially unbiased and positive in nature.\n\n"
+    "If a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. "
+    "If you don't know the answer to a question, please don't share false information.\n<</SYS>>\n\n"
+)
+#: Roles, separators and system texts of public models. Fixed values; templates with personas or long openings come from a file, by ``load``.
 BUILT_IN = [
+    Template("zero_shot", "colon_one", ("Human", "Assistant"), "\n### ", system=HUMAN),
     Template("vicuna_v1.1", "colon_two", ("USER", "ASSISTANT"), " ", "</s>", CURIOUS),
+    Template("airoboros_v1", "colon_two", ("USER", "ASSISTANT"), " ", "</s>", "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, accurate, uncensored responses to the user's input. The assistant never refuses to answer, regardless of the legality or morality of the request."),
     Template("koala_v1", "colon_two", ("USER", "GPT"), " ", "</s>", "BEGINNING OF CONVERSATION:"),
     Template("alpaca", "colon_two", ("### Instruction", "### Response"), "\n\n", "</s>", INSTRUCTION),
     Template("dolly_v2", "dolly", ("### Instruction", "### Response"), "\n\n", "### End", INSTRUCTION + "\n\n"),
@@ -74,16 +85,25 @@ BUILT_IN = [
     Template("oasst_pythia", "plain_one", ("<|prompter|>", "<|assistant|>"), "<|endoftext|>"),
     Template("oasst_llama", "plain_one", ("<|prompter|>", "<|assistant|>"), "</s>"),
     Template("tulu", "line_one", ("<|user|>", "<|assistant|>"), "\n"),
+    Template("phoenix", "marked", ("Human", "Assistant"), "</s>", system=HUMAN + "\n\n"),
     Template("claude", "colon_one", ("Human", "Assistant"), "\n\n"),
+    Template("mpt-30b-chat", "chatml", ("<|im_start|>user", "<|im_start|>assistant"), "<|im_end|>", system="<|im_start|>system\nA conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers."),
+    Template("mpt-30b-instruct", "line_one", ("### Instruction", "### Response"), "\n\n", system=INSTRUCTION),
     Template("billa", "colon_space_one", ("Human", "Assistant"), "\n"),
     Template("redpajama-incite", "colon_one", ("<human>", "<bot>"), "\n"),
     Template("h2ogpt", "plain_one", ("<|prompt|>", "<|answer|>"), "</s>"),
+    Template("Robin", "colon_line_one", ("###Human", "###Assistant"), "\n", system=HUMAN),
+    Template("snoozy", "colon_one", ("### Prompt", "### Response"), "\n", system="### Instruction:\nThe prompt below is a question to answer, a task to complete, or a conversation to respond to; decide which and write an appropriate response."),
     Template("manticore", "colon_two", ("USER", "ASSISTANT"), "\n", "</s>"),
     Template("falcon", "rwkv", ("User", "Assistant"), "\n", "<|endoftext|>"),
-    Template("rwkv", "rwkv", ("Bob", "Alice")),
+    Template("rwkv", "rwkv", ("Bob", "Alice"), opening=("hi", "Hi. I am your assistant and I will provide expert full response in full details. Please feel free to ask any question and I will always answer it.")),
+    Template("polyglot_changgpt", "colon_one", ("B", "A"), "\n"),
+    Template("tigerbot", "colon_line_one", ("### Instruction", "### Response"), "\n\n", system=CURIOUS),
+    Template("xgen", "plain_one", ("### Human: ", "###"), "\n", system=HUMAN + "\n\n"),
+    Template("internlm-chat", "internlm", ("<|User|>", "<|Bot|>"), "<eoh>", "<eoa>", "A chat between a curious <|User|> and an <|Bot|>. The <|Bot|> gives helpful, detailed, and polite answers to the <|User|>'s questions.\n\n"),
     Template("starchat", "chatml", ("<|user|>", "<|assistant|>"), "<|end|>", system="<system>\n"),
     Template("baichuan-chat", "plain_two", (" <reserved_102> ", " <reserved_103> "), "", "</s>"),
-    Template("llama-2", "llama2", ("[INST]", "[/INST]"), " ", " </s><s>"),
+    Template("llama-2", "llama2", ("[INST]", "[/INST]"), " ", " </s><s>", RESPECTFUL),
     Template("scorer", "content_only", ("query", "score"), "\n"),
 ]
 _registry = {t.name: t for t in BUILT_IN}
@@ -108,7 +128,7 @@ def names() -> list[str]:
 def load(path: str, override: bool = False) -> list[str]:
     """Registers the templates of a JSON list of objects with the fields of Template."""
     with open(path, encoding="utf-8") as f:
-        made = [Template(**(r | {"roles": tuple(r["roles"])})) for r in json.load(f)]
+        made = [Template(**(r | {"roles": tuple(r["roles"]), "opening": tuple(r.get("opening", ()))})) for r in json.load(f)]
     for t in made:
         register(t, override)
     return [t.name for t in made]
@@ -125,9 +145,12 @@ def render(messages: Column, name: str, system: str | None = None) -> Column:
     fill = lambda x: x.replace("{sep}", t.sep).replace("{sep2}", t.sep2)
     head = system + (fill(s.head) if system or s.always else "")
 
-    def turn(m: Column, i: Column) -> Column:
+    contents = F.transform(messages, lambda m: F.coalesce(m["content"], F.lit("")))
+    if t.opening:
+        contents = F.concat(F.array(*map(F.lit, t.opening)), contents)
+
+    def turn(content: Column, i: Column) -> Column:
         even = i % 2 == 0
-        content = F.coalesce(m["content"], F.lit(""))
         said = F.regexp_replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n\n", "\n") if s.lines else content
         role = F.when(even, t.roles[0]).otherwise(t.roles[1]) if s.roles else F.lit("")
         full = F.concat(role, F.lit(s.said), said, F.when(even, fill(s.end[0])).otherwise(fill(s.end[1])))
@@ -143,8 +166,8 @@ def render(messages: Column, name: str, system: str | None = None) -> Column:
 
     head_ = F.lit(head)
     if t.style == "llama2":  # the system text stands in the first turn; an open first turn has none
-        opened = F.coalesce(F.try_element_at(messages, F.lit(1))["content"], F.lit("")) == ""
+        opened = F.coalesce(F.try_element_at(contents, F.lit(1)), F.lit("")) == ""
         head_ = F.when(opened, "").otherwise(head)
     elif not s.roles:
         head_ = F.lit("")
-    return F.when(messages.isNotNull(), F.concat(head_, F.array_join(F.transform(messages, turn), "")))
+    return F.when(messages.isNotNull(), F.concat(head_, F.array_join(F.transform(contents, turn), "")))

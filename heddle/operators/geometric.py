@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..sources.tables import materialize
+from . import sampling
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -128,6 +130,18 @@ def logdet(df: DataFrame, vector: str = "embedding", ridge: float = 1e-6) -> flo
     return float((m - d) * np.log(ridge) + np.linalg.slogdet(ridge * np.eye(d) + g)[1])
 
 
+def logdet_draws(df: DataFrame, order: list[str], vector: str = "embedding", size: int = 512, trials: int = 5, ridge: float = 1e-6, seed: int = 42) -> list[float]:
+    """The log-determinant of each of ``trials`` draws of ``size`` rows without replacement, by places in ``order``.
+
+    Only drawn places go to the driver. Rows without a vector count for no place; of fewer than ``size`` rows, all are drawn.
+    """
+    rows = materialize(sampling.placed(df.filter(F.col(vector).isNotNull()), order, "_at").select("_at", vector))
+    n, rng = rows.count(), np.random.default_rng(seed)
+    drawn = [(t, int(at)) for t in range(trials) for at in rng.choice(n, size=min(size, n), replace=False)] if n else []
+    of = materialize(rows.join(F.broadcast(df.sparkSession.createDataFrame(drawn, "trial int, _at long")), "_at"))
+    return [logdet(of.filter(F.col("trial") == t), vector, ridge) for t in range(trials)]
+
+
 def coverage(df: DataFrame, chosen: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Facility location: the sum and the mean of each row's greatest cosine with a chosen row."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..sources.tables import materialize, shared_dir
+from . import sampling
 
 
 def k_center(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", space: str = "embedding", every: int = 8) -> list[int]:
@@ -65,16 +66,21 @@ def novelty(x: np.ndarray, k: int, rho: np.ndarray, power: float = 1.0, first: i
     return picked
 
 
-def redundancy_filter(df: DataFrame, key: str, vector: str, order: list[str], threshold: float = 0.92, size: int | None = None, block: int = 2048) -> DataFrame:
+def redundancy_filter(df: DataFrame, key: str, vector: str, order: list[str], threshold: float = 0.92, size: int | None = None, block: int = 2048, batch: int | None = None) -> DataFrame:
     """rank and key of the rows, in order, whose cosine with every earlier kept row is at most ``threshold``; the first ``size`` of them.
 
     The next ``block`` rows in order are settled among themselves (the only rows that come to the driver); then one
     pass without a shuffle drops all rows too similar to what was kept of them. No pairs are written, so groups of
     copies cost no more than other rows, and the work ends as soon as ``size`` rows are found. A row of zeros is
     similar to none; rows without a vector are left out. Ties in the order go by key.
+
+    With ``batch`` the rows after the first go in batches of so many, and a row also goes if an earlier one of its
+    batch is too similar, kept or not.
     """
     spark = df.sparkSession
     rest = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.struct(*order, key).alias("o"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    if batch:
+        rest = _first_in_batch(rest, batch, threshold)
     rest, path, kept = materialize(rest), shared_dir(spark), 0
     kind = f"rank long, {key} {df.schema[key].dataType.simpleString()}"
     spark.createDataFrame([], kind).write.parquet(path)
@@ -97,6 +103,19 @@ def redundancy_filter(df: DataFrame, key: str, vector: str, order: list[str], th
     return spark.read.schema(kind).parquet(path)
 
 
+def _first_in_batch(rows: DataFrame, batch: int, threshold: float) -> DataFrame:
+    """Rows (o, x) without a similar one before them in their batch. Those left of a batch are far from each other, so only
+    kept rows of earlier batches can still remove them: the rule by batches is the rule row by row over these."""
+
+    def far(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_at")
+        u = _unit(vectors.matrix(t["x"]))
+        return t.filter(pa.array(~np.tril(u @ u.T > threshold, -1).any(axis=1))).select(["k", "o", "x"])
+
+    number = F.when(F.col("_at") == 0, F.lit(0)).otherwise(F.floor((F.col("_at") - 1) / batch) + 1)
+    return sampling.placed(rows, ["o"], "_at").withColumn("_batch", number).groupBy("_batch").applyInArrow(far, rows.schema)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 

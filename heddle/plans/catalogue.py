@@ -395,6 +395,13 @@ def vocd_d(spark, d):
     return rounded(lexical.vocd(*words(spark, d), "doc_id"))
 
 
+@query()
+def vocd_summary(spark, d):
+    """Number of documents of 50 tokens and more, with mean, deviation and median of their D."""
+    found = lexical.vocd(*words(spark, d), "doc_id")
+    return rounded(found.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("deviation"), F.median("d").alias("median")))
+
+
 @query()
 def self_bleu(spark, d):
     """Of the benchmark's passages: a stated, small set."""
@@ -469,6 +476,13 @@ def logdet_distance(spark, d):
     return row(spark, logdet=round(geometric.logdet(table(spark, d, "embeddings")), 4))
 
 
+@query()
+def logdet_draws(spark, d):
+    """Mean and deviation over five draws of 512 rows."""
+    found = geometric.logdet_draws(table(spark, d, "embeddings"), ["vec_id"])
+    return row(spark, mean=round(float(np.mean(found)), 4), deviation=round(float(np.std(found)), 4))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT 0 AS rank, vec_id, v, 'infinity'::DOUBLE AS far, (SELECT min(vec_id) FROM e) AS pick FROM e UNION ALL
@@ -510,6 +524,20 @@ def redundancy_filter(spark, d):
     return selection.redundancy_filter(e, "vec_id", "embedding", ["neg"], 0.3, 100)
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY -vec_id % 97, vec_id) AS i FROM embeddings),
+n AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE 1 + (i - 2) // 32 END AS batch FROM o),
+x AS MATERIALIZED (SELECT b.i, list(a.vec_id) AS close, bool_or(a.batch = b.batch) AS within FROM n a JOIN n b ON a.i < b.i AND list_cosine_similarity(a.v, b.v) > 0.3 GROUP BY b.i),
+y AS MATERIALIZED (SELECT o.i, o.vec_id, coalesce(x.close, []) AS close, coalesce(x.within, false) AS within FROM o LEFT JOIN x USING (i)),
+s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
+  SELECT y.i, CASE WHEN y.within OR list_has_any(s.kept, y.close) THEN s.kept ELSE list_append(s.kept, y.vec_id) END FROM s JOIN y ON y.i = s.i + 1)
+SELECT unnest(range(len(kept)))::BIGINT AS rank, unnest(kept) AS vec_id FROM s WHERE i = (SELECT max(i) FROM s)""")
+def redundancy_batches(spark, d):
+    """The filter by batches of 32 rows."""
+    e = table(spark, d, "embeddings").withColumn("neg", -F.col("vec_id") % 97)
+    return selection.redundancy_filter(e, "vec_id", "embedding", ["neg"], 0.3, batch=32)
+
+
 @query("""
 WITH h AS (SELECT label, count(*) FILTER (WHERE vec_id % 2 = 0) AS a, count(*) FILTER (WHERE vec_id % 2 = 1) AS b FROM embeddings GROUP BY 1),
 s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM h),

@@ -39,8 +39,9 @@ _prompts("vicuna_v1.1", "'" + templates.CURIOUS.replace("'", "''") + " '", _role
 _prompts("chatglm2", "''", "CASE WHEN i % 2 = 0 THEN '[Round ' || (i // 2 + 1) || ']' || chr(10) || chr(10) ELSE '' END || " + _role("问", "答") + " || '：' || CASE WHEN c = '' THEN '' ELSE c || chr(10) || chr(10) END")
 _prompts("dolly_v2", f"'{templates.INSTRUCTION}' || chr(10) || chr(10)", _role("### Instruction", "### Response") + " || ':' || chr(10) || CASE WHEN c = '' THEN '' WHEN i % 2 = 0 THEN c || chr(10) || chr(10) ELSE c || '### End' || chr(10) || chr(10) END")
 _prompts("starchat", "'<system>' || chr(10) || '<|end|>' || chr(10)", _role("<|user|>", "<|assistant|>") + " || chr(10) || CASE WHEN c = '' THEN '' ELSE c || '<|end|>' || chr(10) END")
-_prompts("llama-2", "''", "CASE WHEN c = '' THEN " + _role("[INST]", "[/INST]") + " WHEN i = 0 THEN c ELSE " + _role("[INST]", "[/INST]") + " || ' ' || c || " + _role(" ", " </s><s>") + " END")
+_prompts("llama-2", "CASE WHEN min_by(c, i) = '' THEN '' ELSE '" + templates.RESPECTFUL.replace("'", "''").replace("\n", "' || chr(10) || '") + "' END", "CASE WHEN c = '' THEN " + _role("[INST]", "[/INST]") + " WHEN i = 0 THEN c ELSE " + _role("[INST]", "[/INST]") + " || ' ' || c || " + _role(" ", " </s><s>") + " END")
 _prompts("falcon", "''", _role("User", "Assistant") + " || CASE WHEN c = '' THEN ':' ELSE ': ' || replace(replace(c, chr(13) || chr(10), chr(10)), chr(10) || chr(10), chr(10)) || chr(10) || chr(10) END")
+_prompts("Robin", "'" + templates.HUMAN.replace("'", "''") + "' || chr(10)", _role("###Human", "###Assistant") + " || ':' || chr(10) || CASE WHEN c = '' THEN '' ELSE c || chr(10) END")
 _prompts("oasst_llama", "''", _role("<|prompter|>", "<|assistant|>") + " || CASE WHEN c = '' THEN '' ELSE c || '</s>' END")
 
 

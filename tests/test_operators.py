@@ -367,7 +367,12 @@ def test_templates(spark, tmp_path):
     assert got["billa"][0] == "\nHuman: one\n\ntwo\nAssistant: three\nHuman: Assistant: "
     assert got["chatglm"][0] == "[Round 0]\n问：one\n\ntwo\n答：three\n[Round 1]\n问：答："
     assert got["falcon"][0] == "User: one\ntwo\n\nAssistant: three\n\nUser:Assistant:"
-    assert got["llama-2"][0] == "one\n\ntwo[/INST] three </s><s>[INST][/INST]"
+    assert got["llama-2"][0] == templates.RESPECTFUL + "one\n\ntwo[/INST] three </s><s>[INST][/INST]" and got["llama-2"][1] == ""
+    assert got["rwkv"][0].startswith("Bob: hi\n\nAlice: Hi. I am") and got["rwkv"][0].endswith("Bob: one\ntwo\n\nAlice: three\n\nBob:Alice:")
+    assert got["Robin"][0] == templates.HUMAN + "\n###Human:\none\n\ntwo\n###Assistant:\nthree\n###Human:\n###Assistant:\n"
+    assert got["phoenix"][0] == templates.HUMAN + "\n\nHuman: <s>one\n\ntwo</s>Assistant: <s>three</s>Human: <s>Assistant: <s>"
+    assert got["internlm-chat"][0].endswith("questions.\n\n<s><|User|>:one\n\ntwo<eoh>\n<|Bot|>:three<eoa>\n<s><|User|>:<|Bot|>:")
+    assert got["zero_shot"][0] == templates.HUMAN + "\n### Human: one\n\ntwo\n### Assistant: three\n### Human:Assistant:"
     assert got["scorer"][0] == "one\n\ntwothree"
     path = tmp_path / "t.json"
     path.write_text('[{"name": "mine", "style": "internlm", "roles": ["U", "B"], "sep": "<e>", "sep2": "<f>", "system": "S"}]')
@@ -393,6 +398,26 @@ def test_redundancy_filter(spark):
         assert [r.k for r in got] == [k for k, _ in kept][:size]
         assert [r["rank"] for r in got] == list(range(len(got)))
     assert selection.redundancy_filter(df.limit(0), "k", "v", ["s"]).count() == 0
+    line = [(k, unit(v)) for k, _, v in sorted((r for r in rows if r[2]), key=lambda r: (r[1], r[0]))]
+    for batch, size in ((1, None), (5, None), (5, 9), (100, None)):
+        left = line[:1]
+        for at in range(1, len(line), batch):
+            part = line[at : at + batch]
+            left = left + [(k, v) for n, (k, v) in enumerate(part) if all(v @ o <= 0.9 for _, o in left + part[:n])]
+        got = selection.redundancy_filter(df, "k", "v", ["s"], 0.9, size, 7, batch).orderBy("rank").collect()
+        assert [r.k for r in got] == [k for k, _ in left][:size]
+    assert selection.redundancy_filter(df.limit(0), "k", "v", ["s"], batch=4).count() == 0
+    assert len(line) > len(left) > 1
+
+
+def test_logdet_draws(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(99, None)], "k long, embedding array<double>")
+    u, pick = x / np.linalg.norm(x, axis=1, keepdims=True), np.random.default_rng(3)
+    want = [np.linalg.slogdet(u[i] @ u[i].T + 0.1 * np.eye(20))[1] for i in (pick.choice(60, 20, replace=False) for _ in range(4))]
+    assert geometric.logdet_draws(df.repartition(3), ["k"], size=20, trials=4, ridge=0.1, seed=3) == pytest.approx(want)
+    assert geometric.logdet_draws(df.limit(0), ["k"], trials=2) == [0.0, 0.0]
 
 
 def test_quota_sample(spark):

@@ -11,7 +11,7 @@ def test_against_sql(name, spark, sf, duck):
     same(catalogue.QUERIES[name](spark, sf), duck, catalogue.ORACLE[name])
 
 
-@pytest.mark.parametrize("name", ["vendi_dual", "logdet_distance", "semantic_classes", "component_count", "vendi_orders", "ngram_vendi"])
+@pytest.mark.parametrize("name", ["vendi_dual", "logdet_distance", "logdet_draws", "vocd_summary", "semantic_classes", "component_count", "vendi_orders", "ngram_vendi"])
 def test_others_give_rows(name, spark, sf):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
