@@ -298,5 +298,6 @@ def streaming_ingest(spark, d):
     """Documents read as a stream, without repeats of a text, into a table that is read back."""
     out, state = shared_dir(spark), shared_dir(spark)
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    ingest.ingest(spark, d, schema, "text", out, state, files="documents.parquet").awaitTermination()
+    # a pattern names the table whether it is one file or a folder of them: a stream reads no path of one file
+    ingest.ingest(spark, f"{d}/[d]ocuments.parquet", schema, "text", out, state).awaitTermination()
     return spark.read.parquet(out).groupBy("text_hash").agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from heddle.functions import vectors
-from heddle.operators import geometric
+from heddle.operators import geometric, lexical
+from heddle.plans import catalogue
 
 
 def _plan(df):
@@ -39,3 +40,23 @@ def test_copies_of_vectors_have_the_least_keys_near(spark):
     for r in geometric.nearest(df, "k", "v", 2).collect():
         got.setdefault(r.k, {})[r["rank"]] = r.other
     assert got["000"] == {1: "001", 2: "002"} and got["059"] == got["a"] == {1: "000", 2: "001"} and got["001"] == {1: "000", 2: "002"}
+
+
+def test_streams_read_a_table_of_many_files(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.QUERIES["streaming_ingest"](spark, f"file://{tmp_path}").count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+def test_ngrams_are_shuffled_packed(spark):
+    df = spark.createDataFrame([("a b c a b",), ("",), ("a b",), (None,)], "t string")
+    made = lexical.profile(df, F.split(F.coalesce("t", F.lit("")), " "), [1, 2, 3], threshold=1)
+    assert "Generate" not in _plan(made)
+    got = {r.n: (r.d, r.total, r.r) for r in made.groupBy("n").agg(F.sum("d").alias("d"), F.sum("total").alias("total"), F.sum("r").alias("r")).collect()}
+    assert got == {1: (4, 9, 1), 2: (3, 5, 2), 3: (3, 3, 3)}
+
+
+def test_no_text_goes_to_python_for_type_counts(spark):
+    df = spark.createDataFrame([(1, ["a"] * 30 + ["b"] * 30), (2, []), (3, None)], "k long, w array<string>")
+    assert "ArrowEvalPython" in _plan(lexical.vocd(df, F.col("w"), "k")) and "xxhash64" in _plan(lexical.vocd(df, F.col("w"), "k"))
+    assert [r.k for r in lexical.vocd(df, F.col("w"), "k").collect()] == [1]
