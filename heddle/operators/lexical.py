@@ -138,27 +138,39 @@ def vocd(df: DataFrame, tokens: Column, key: str, least: int = 50) -> DataFrame:
 
     def curve(c, n):
         lg = np.vectorize(math.lgamma, otypes=[float])
+        kinds, often = np.unique(c, return_counts=True)
         out = []
         for s in sizes:
-            rest = n - c
+            rest = n - kinds
             ok = rest >= s
-            miss = np.zeros(len(c))
+            miss = np.zeros(len(kinds))
             miss[ok] = np.exp(lg(rest[ok] + 1) - lg(rest[ok] - s + 1) - math.lgamma(n + 1) + math.lgamma(n - s + 1))
-            out.append((1 - miss).sum() / s)
+            out.append((1 - np.repeat(miss, often)).sum() / s)
         return np.array(out)
 
-    def fit(n, c):
-        if n < least:
-            return None
-        seen = curve(np.sort(c), n)
-        loss = lambda x: float(((math.exp(x) / sizes * (np.sqrt(1 + 2 * sizes / math.exp(x)) - 1) - seen) ** 2).sum())
-        lo, hi, g = math.log(0.01), math.log(1e4), (math.sqrt(5) - 1) / 2
+    def fit(seen):
+        """Of all rows of a batch at once."""
+        loss = lambda x: ((np.exp(x)[:, None] / sizes * (np.sqrt(1 + 2 * sizes / np.exp(x)[:, None]) - 1) - seen) ** 2).sum(axis=1)
+        lo, hi, g = np.full(len(seen), math.log(0.01)), np.full(len(seen), math.log(1e4)), (math.sqrt(5) - 1) / 2
         for _ in range(80):
             a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-            lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
-        return math.exp((lo + hi) / 2)
-
-    return df.select(key, type_counts(fit)(tokens).alias("d")).filter("d IS NOT NULL")
+            down = loss(a) < loss(b)
+            lo, hi = np.where(down, lo, a), np.where(down, b, hi)
+        return np.exp((lo + hi) / 2)
+
+    @F.arrow_udf("double")
+    def fitted(rows: pa.Array) -> pa.Array:
+        out, seen, at = np.full(len(rows), np.nan), [], []
+        for i, t in enumerate(rows):
+            w = t.values.to_numpy() if t.is_valid else ()
+            if len(w) >= least:
+                seen.append(curve(np.unique(w, return_counts=True)[1], len(w)))
+                at.append(i)
+        if at:
+            out[at] = fit(np.array(seen))
+        return pa.array(out, from_pandas=True)  # NaN, where nothing was fitted, is null
+
+    return df.select(key, fitted(F.transform(tokens, lambda x: F.xxhash64(x))).alias("d")).filter("d IS NOT NULL")
 
 
 def sentence_bleu(references: list[list[str]], hypothesis: list[str], most: int = 4) -> float:
