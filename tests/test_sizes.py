@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from heddle.functions import text as X
 from heddle.functions import vectors
 from heddle.operators import geometric, lexical
 from heddle.plans import catalogue
@@ -60,3 +61,8 @@ def test_no_text_goes_to_python_for_type_counts(spark):
     df = spark.createDataFrame([(1, ["a"] * 30 + ["b"] * 30), (2, []), (3, None)], "k long, w array<string>")
     assert "ArrowEvalPython" in _plan(lexical.vocd(df, F.col("w"), "k")) and "xxhash64" in _plan(lexical.vocd(df, F.col("w"), "k"))
     assert [r.k for r in lexical.vocd(df, F.col("w"), "k").collect()] == [1]
+
+
+def test_windows_of_characters_are_not_made_as_texts(spark):
+    df = spark.createDataFrame([("abcabc",), ("ab",), (None,), ("\U0001f600" * 6,)], "t string").select(X.char_ngram_count(F.col("t"), 3).alias("n"))
+    assert "array_join" not in _plan(df) and [r.n for r in df.collect()] == [3, 0, 0, 1]
