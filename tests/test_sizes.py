@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import text as X
 from heddle.functions import vectors
-from heddle.operators import geometric, lexical
+from heddle.operators import geometric, lexical, selection
 from heddle.plans import catalogue
 
 
@@ -66,3 +66,23 @@ def test_no_text_goes_to_python_for_type_counts(spark):
 def test_windows_of_characters_are_not_made_as_texts(spark):
     df = spark.createDataFrame([("abcabc",), ("ab",), (None,), ("\U0001f600" * 6,)], "t string").select(X.char_ngram_count(F.col("t"), 3).alias("n"))
     assert "array_join" not in _plan(df) and [r.n for r in df.collect()] == [3, 0, 0, 1]
+
+
+def test_facility_picks_take_no_jobs_of_their_own(spark):
+    """Copies too: of equal gains the least key is picked."""
+    x = np.random.default_rng(3).normal(size=(150, 6))
+    x[40:60], x[7] = x[5], 0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    s, best, want, jobs = np.maximum(u @ u.T, 0), np.zeros(150), [], []
+    while len(want) < 140:
+        gain = np.round(np.maximum(s - best[:, None], 0).sum(axis=0), 9)
+        gain[want] = -1
+        want.append(int(gain.argmax()))
+        best = np.maximum(best, s[:, want[-1]])
+    for k in (3, 140):
+        spark.sparkContext.setJobGroup(f"facility{k}", "")
+        assert selection.facility_rows(df, k, weighed=8) == want[:k]
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"facility{k}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] and selection.facility_rows(df.limit(0), 3) == []
