@@ -86,3 +86,17 @@ def test_facility_picks_take_no_jobs_of_their_own(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"facility{k}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1] and selection.facility_rows(df.limit(0), 3) == []
+
+
+def test_others_are_read_no_more_often_for_more_blocks(spark):
+    from pyspark import TaskContext
+
+    df = spark.range(600).select(F.col("id").alias("k"), F.array(F.col("id") * 1.0).alias("v"))
+
+    def kernel(ka, x, others):
+        here, n = TaskContext.get().partitionId(), sum(len(kb) for kb, _ in others)
+        return pa.table({"k": ka, "at": [here] * len(ka), "n": [n] * len(ka), "rows": [len(ka)] * len(ka)})
+
+    seen = vectors.compared(df, "k", "v", kernel, "k {key}, at long, n long, rows long", rows=4).collect()
+    assert sorted(r.k for r in seen) == list(range(600)) and {r.n for r in seen} == {600}
+    assert len({r["at"] for r in seen}) <= 48 and max(r.rows for r in seen) <= 5
