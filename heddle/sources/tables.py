@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,13 +187,48 @@ def reusable(spark: SparkSession, paths: list[str], overwrite: bool = False) ->
 
 
 def write_files(files: DataFrame, path: str) -> list[str]:
-    """Writes rows of name and content (binary) as files, one at a time through the driver; the names, in order."""
+    """Writes rows of name and content (binary) as files; the names, in order.
+
+    The tasks write each file under a hidden name, which readers pass over, and the driver renames those of the tasks that ended well: only
+    names come to it. A store that Arrow cannot open is written through the driver, a file at a time.
+    """
     spark, names = files.sparkSession, []
-    for r in files.select("name", "content").toLocalIterator():
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.name}")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-        out.write(bytearray(r.content))
-        out.close()
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(place(path))
+    uri = None if whole.toUri().getScheme() == "file" else whole.toUri().toString()
+    local = whole.toUri().getPath()
+
+    def store():
+        from pyarrow import fs as arrow
+
+        return (arrow.LocalFileSystem(), local) if uri is None else arrow.FileSystem.from_uri(uri)
+
+    def run(batches):
+        to, folder = store()
+        to.create_dir(folder)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = f".{uuid.uuid4().hex}.part"
+                with to.open_output_stream(f"{folder}/{part}") as out:
+                    out.write(content.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part])], names=["name", "part"])
+
+    try:
+        store()
+    except (OSError, ValueError):  # no such store in Arrow, or not on this machine
+        for r in files.select("name", "content").toLocalIterator():
+            out = fs.create(place(f"{path}/{r.name}"), True)
+            out.write(bytearray(r.content))
+            out.close()
+            names.append(r.name)
+        return sorted(names)
+    for r in files.select(F.col("name").cast("string"), "content").mapInArrow(run, "name string, part string").collect():  # a row per file
+        at = place(f"{path}/{r.name}")
+        fs.mkdirs(at.getParent())
+        fs.delete(at, False)
+        if not fs.rename(place(f"{path}/{r.part}"), at):
+            raise OSError(f"{path}/{r.part} could not be renamed to {r.name}")
         names.append(r.name)
     return sorted(names)
 

@@ -8,6 +8,7 @@ from heddle.functions import text as X
 from heddle.functions import vectors
 from heddle.operators import geometric, lexical, selection
 from heddle.plans import catalogue
+from heddle.sources import tables
 
 
 def _plan(df):
@@ -100,3 +101,15 @@ def test_others_are_read_no_more_often_for_more_blocks(spark):
     seen = vectors.compared(df, "k", "v", kernel, "k {key}, at long, n long, rows long", rows=4).collect()
     assert sorted(r.k for r in seen) == list(range(600)) and {r.n for r in seen} == {600}
     assert len({r["at"] for r in seen}) <= 48 and max(r.rows for r in seen) <= 5
+
+
+def test_contents_of_files_do_not_come_to_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", None)
+    kept = [(f"a b%20{i}.bin", bytearray(range(256)) * (i + 1)) for i in range(9)]
+    df = spark.createDataFrame(kept, "name string, content binary").repartition(4)
+    for path in (f"file://{tmp_path}/x y", f"{tmp_path}/z"):
+        for _ in range(2):  # again over what is there
+            assert tables.write_files(df, path) == sorted(n for n, _ in kept)
+        found = tmp_path / path.rsplit("/", 1)[1]
+        assert {p.name: p.read_bytes() for p in found.iterdir()} == {n: bytes(c) for n, c in kept}
+        assert spark.read.format("binaryFile").load(path).count() == 9
