@@ -187,9 +187,10 @@ def sqlite_features(spark, d):
 
 @query("SELECT 'embedded' AS table_name, 'table' AS kind, unnest(['doc_id', 'embedding', 'ln_p']) AS \"column\", unnest(['INTEGER', 'BLOB', 'REAL']) AS type, count(*)::BIGINT AS rows FROM embeddings")
 def sqlite_tables(spark, d):
+    """The tables of SQLite files that each hold a part of the vectors, with the rows of all files."""
     path = shared_dir(spark)
-    tables.write_files(features.sqlite_files(vectors_of(spark, d).coalesce(1), "embedded", 1 << 40), path)
-    return features.inspect_sqlite(spark, path).drop("name")
+    tables.write_files(features.sqlite_files(vectors_of(spark, d), "embedded"), path)
+    return features.inspect_sqlite(spark, path).groupBy("table_name", "kind", "column", "type").agg(F.sum("rows").alias("rows"))
 
 
 @query("SELECT vec_id AS place, vec_id::VARCHAR AS sample_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")

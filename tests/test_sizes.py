@@ -113,3 +113,12 @@ def test_contents_of_files_do_not_come_to_the_driver(spark, tmp_path, monkeypatc
         found = tmp_path / path.rsplit("/", 1)[1]
         assert {p.name: p.read_bytes() for p in found.iterdir()} == {n: bytes(c) for n, c in kept}
         assert spark.read.format("binaryFile").load(path).count() == 9
+
+
+def test_sqlite_tables_are_many_files(spark, sf, tmp_path, monkeypatch):
+    e, made = spark.read.parquet(f"{sf}/embeddings.parquet"), []
+    e.repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    write = tables.write_files
+    monkeypatch.setattr(tables, "write_files", lambda *a: made.extend(write(*a)))
+    got = catalogue.QUERIES["sqlite_tables"](spark, f"file://{tmp_path}").collect()
+    assert len(made) > 1 and {r["column"]: r.rows for r in got} == dict.fromkeys(("doc_id", "embedding", "ln_p"), e.count())
